@@ -333,8 +333,6 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> DataFrame:
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, tokenizer_path: str, ranks_path: str, words: int = LEXICON_WORDS) -> str:
     """Compile the lexicon (at most ``words`` entries, a bounded file) and ship it; returns its file name."""
-    import os
-
     from ._common import shared_dir
 
     top = [r.word for r in frequent_words(docs, words).collect()]
@@ -342,10 +340,12 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, tokenizer_path: str, ran
     data = compile_lexicon({w.encode(): tuple(np.frombuffer(ids, "<i4").tolist()) for w in top if (ids := own.memo[w])})
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.mat"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lexicons/{os.urandom(8).hex()}/{name}")
-    out = path.getFileSystem(conf).create(path, True)
-    out.write(data)
-    out.close()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lexicons/{name}")  # by content: a second run finds it
+    store = path.getFileSystem(conf)
+    if not store.exists(path):
+        out = store.create(path, True)
+        out.write(data)
+        out.close()
     spark.sparkContext.addFile(path.toString())
     return name
 
