@@ -64,6 +64,13 @@ def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that start anywhere else."""
+    from .repeat_spans import remove_repeats
+
+    return remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     from .jaccard_join import similar_components
@@ -79,7 +86,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_ratio, op2_virtual_slots, op3_language_kernel, op4_line_chunks, op6_signature_tree_join, op7_prefix_token_counts, op8_token_records, op9_transducer_bpe, op10_benchmark_leaks)}
+    return {f.__name__: f for f in (op1_quality_ratio, op2_virtual_slots, op3_language_kernel, op4_line_chunks, op5_repeat_spans, op6_signature_tree_join, op7_prefix_token_counts, op8_token_records, op9_transducer_bpe, op10_benchmark_leaks)}
 
 
 _OP4_SQL = """
