@@ -11,7 +11,7 @@ from ._common import Scratch
 def _smallest(pairs: DataFrame, strict: bool) -> DataFrame:
     """u, v -> each v with the smallest node around u (u itself included)."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(least.hint("merge"), "u")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int =
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _smallest(both, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined = large.join(low.hint("merge"), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = scratch.write(small, f"{name}-{i + 1}")
         scratch.drop(f"{name}-{i}") if i else None

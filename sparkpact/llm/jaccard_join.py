@@ -12,6 +12,7 @@
    members to the same tree join, on bitmaps of the whole sets; the pairs it can't exclude are compared exactly.
 5. Links give components.
 
+Joins whose sides grow with the corpus are sort-merge joins at every size; Spark splits them when skewed.
 Nothing is dropped or capped: large groups are split by size class and into blocks, and blocks meet in pairs.
 """
 
@@ -320,7 +321,7 @@ def _sets(spark: SparkSession, docs: DataFrame, n: int, wanted: DataFrame) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), grams], ["doc_id", "grams"])
 
     sets = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, grams binary")
-    return sets.where("octet_length(grams) > 0").join(wanted, "doc_id")
+    return sets.where("octet_length(grams) > 0").join(wanted.hint("merge"), "doc_id")
 
 
 def _slots(ids: np.ndarray) -> np.ndarray:
@@ -333,7 +334,7 @@ def _block_pairs(rows: DataFrame, counts: DataFrame, key: list[str]) -> DataFram
 
     A group of one block meets itself in (0, 0). ``counts``: key, n_group.
     """
-    sized = rows.join(counts, key)
+    sized = rows.join(counts.hint("merge"), key)
     blocks = F.ceil(F.col("n_group") / BLOCK).cast("int")
     sized = sized.withColumn("_b", blocks).withColumn("_own", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("_b")).cast("int"))
     met = sized.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
@@ -358,13 +359,13 @@ def _cluster_links(spark, docs, n, percent, clusters: DataFrame) -> DataFrame:
 
 def _cross_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b of different clusters with a common prefix token that bitmaps can't exclude."""
-    labelled = reps.join(clusters.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("cluster", F.coalesce("component", "doc_id"))
+    labelled = reps.join(clusters.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left").withColumn("cluster", F.coalesce("component", "doc_id"))
     # a size class spans one factor of the similarity, so linked sets lie in one class or in two neighbours
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
     size_class = F.floor(F.log("n_shingles") / step).cast("int")
     tokens = labelled.select("doc_id", "cluster", "n_shingles", F.explode("tokens").alias("token")).repartition("token")
     cross = tokens.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("token")
-    rows = tokens.join(cross, "token").withColumn("c", size_class)
+    rows = tokens.join(cross.hint("merge"), "token").withColumn("c", size_class)
     # home rows of class c meet each other and the guests from class c + 1
     homes, guests = rows.withColumn("guest", F.lit(False)), rows.withColumn("c", F.col("c") - 1).withColumn("guest", F.lit(True))
     return homes.unionByName(guests)
@@ -381,18 +382,18 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     sig = scratch.write(signatures(spark, docs, n, percent, _heavy(docs, n)), "signatures")
     linked = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.write(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = scratch.write(linked.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").drop("d1", "d2"), "reps")
+    reps = scratch.write(linked.join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").drop("d1", "d2"), "reps")
 
     banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    coarse = banded.join(hubs, ["band", "key"]).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    coarse = banded.join(hubs.hint("merge"), ["band", "key"]).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = scratch.write(components(coarse, scratch, "coarse"), "clusters")
     inner = scratch.write(_cluster_links(spark, docs, n, percent, clusters), "inner")
 
     shared = scratch.write(_cross_pairs(reps, clusters, percent), "shared")
     counts = shared.groupBy("token", "c").agg(F.count("*").alias("n_group"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").drop("lo", "hi")
     dealt = _block_pairs(shared, counts, ["token", "c"])
-    with_bits = dealt.join(reps.select("doc_id", "bits").dropDuplicates(["doc_id"]), "doc_id")
+    with_bits = dealt.join(reps.select("doc_id", "bits").dropDuplicates(["doc_id"]).hint("merge"), "doc_id")
 
     def pairs(table: pa.Table) -> pa.Table:
         ids, sizes = table.column("doc_id").to_pylist(), table.column("n_shingles").to_pylist()
@@ -404,8 +405,8 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     outer = _verified(spark, docs, n, percent, candidates, scratch)
     links = inner.unionByName(outer)
     found = scratch.write(components(links, scratch, "final"), "final")
-    labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "d1", "d2").join(labelled, ["d1", "d2"], "left")
+    labelled = classes.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    out = sig.select("doc_id", "n_shingles", "d1", "d2").join(labelled.hint("merge"), ["d1", "d2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("component_id").isNull() | F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -414,8 +415,8 @@ def _verified(spark, docs, n, percent, candidates: DataFrame, scratch: Scratch)
     """The candidate pairs (a, b) that link, by their whole sets."""
     wanted = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
     sets = scratch.write(_sets(spark, docs, n, scratch.write(wanted, "wanted")), "sets")
-    left = candidates.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+    left = candidates.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
 
     def check(batches):
         for batch in batches:
@@ -434,4 +435,4 @@ def _verified(spark, docs, n, percent, candidates: DataFrame, scratch: Scratch)
 def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that are the smallest doc_id of their component."""
     heads = similar_components(spark, docs, n, percent).where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads.withColumnRenamed("doc_id", "_head"), F.col("doc_id").cast("long").eqNullSafe(F.col("_head")), "left_semi")
+    return docs.join(heads.withColumnRenamed("doc_id", "_head").hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_head")), "left_semi")

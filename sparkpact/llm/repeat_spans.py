@@ -213,16 +213,16 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, lengt
     """doc_id, th (hash of the text), spans: array of (start, stop), which overlap, of repeated bytes."""
     found = scratch.write(_scan(docs, length, gram), "anchors")
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    found = scratch.write(found.join(often, "anchor", "left_semi").select(*_PLACE), "often")
+    found = scratch.write(found.join(often.hint("merge"), "anchor", "left_semi").select(*_PLACE), "often")
     scratch.drop("anchors")
     place = F.struct("doc_id", "th", "pos")
     contexts = scratch.write(found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("first")), "contexts")
     several = scratch.write(contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"), "several")
     # contexts of anchors that have several: one occurrence's bytes of each
-    need = contexts.join(several, "anchor").select("anchor", "c1", "c2", "n_contexts", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.pos").alias("pos"))
+    need = contexts.join(several.hint("merge"), "anchor").select("anchor", "c1", "c2", "n_contexts", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.pos").alias("pos"))
     on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("anchor", "c1", "c2", "doc_id", "th", "pos")]
     scanned = _scan(docs, length, gram, _marked(spark, several, "anchor"))
-    texts = scanned.alias("x").join(need.alias("y"), on).select("x.anchor", "x.c1", "x.c2", "lefts", "rights", "n_contexts")
+    texts = scanned.alias("x").join(need.alias("y").hint("merge"), on).select("x.anchor", "x.c1", "x.c2", "lefts", "rights", "n_contexts")
 
     def solve(batches):
         held: list[tuple] = []
@@ -256,7 +256,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, lengt
         solved = solved.unionByName(_by_windows(texts.where(F.col("n_contexts") > many), length))
     equal = contexts.where("n > 1").select("anchor", "c1", "c2", F.lit(None).cast("short").alias("l"), F.lit(None).cast("short").alias("r"))
     verdict = scratch.write(equal.unionByName(solved), "verdicts")
-    spans = found.join(verdict, ["anchor", "c1", "c2"]).select(
+    spans = found.join(verdict.hint("merge"), ["anchor", "c1", "c2"]).select(
         "doc_id", "th", (F.col("pos") - F.coalesce("l", "before")).alias("start"), (F.col("pos") + F.coalesce("r", "after")).alias("stop")
     ).where(F.col("stop") - F.col("start") >= length)
     return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
@@ -277,8 +277,10 @@ def _by_windows(texts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*fixed, pa.array(js, pa.int32()), pa.array(f[:, 0]), pa.array(f[:, 1])], ["anchor", "c1", "c2", "j", "f1", "f2"])
 
     rows = texts.dropDuplicates(["anchor", "c1", "c2"]).select("anchor", "c1", "c2", "lefts", "rights").mapInArrow(windows, "anchor long, c1 long, c2 long, j int, f1 long, f2 long")
-    twice = rows.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(twice, ["f1", "f2"]).groupBy("anchor", "c1", "c2").agg(F.max("j").cast("short").alias("l"), (length - F.min("j")).cast("short").alias("r"))
+    # one anchor at one distance: a window with two anchors must not meet itself
+    same = ["anchor", "j", "f1", "f2"]
+    twice = rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(twice.hint("merge"), same).groupBy("anchor", "c1", "c2").agg(F.max("j").cast("short").alias("l"), (length - F.min("j")).cast("short").alias("r"))
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -312,7 +314,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     keyed = _keyed(docs)
     part = keyed.where("text IS NOT NULL").mapInArrow(chosen, "doc_id long, th long, text string")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    met = part.join(spans, same(part, spans)).select(part["doc_id"], part["th"], "text", "spans")
+    met = part.join(spans.hint("merge"), same(part, spans)).select(part["doc_id"], part["th"], "text", "spans")
 
     def finish(batches):
         for batch in batches:
@@ -328,5 +330,5 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     raw = F.coalesce("text", F.lit(""))
     base = keyed.select("doc_id", "th", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw.cast("binary"), 256).alias("full"))
     zero = F.lit(0).cast("long")
-    out = base.join(changed, same(base, changed), "left")
+    out = base.join(changed.hint("merge"), same(base, changed), "left")
     return out.select(base["doc_id"], "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "full").alias("kept_sha256"))
