@@ -21,8 +21,8 @@ from ._common import text_runs
 
 BUCKETS = 1 << 16
 TRUSTED_ROWS = 20_000
-PSEUDO_COUNT = 2.0
-THRESHOLD = -0.02
+PSEUDO_COUNT = 5.0
+THRESHOLD = -0.05
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\v\f\r"
 _VOCABULARY = 1 << 20
