@@ -9,7 +9,8 @@ Hashes only group candidates. Of each group the smallest and the largest chunk a
 bytes are, which is the comparison, and groups where they differ are split by their bytes.
 
 DataFrame operations only. Groups are combined in each task before they are shuffled, so a chunk that a third of
-all documents hold costs a row a task; the join that finds its places is one that Spark splits when skewed.
+all documents hold costs a row a task. Both joins are sort-merge joins at every size (their right sides grow with
+the corpus); Spark splits them when skewed.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame
     grouped = found.groupBy("chunk_hash").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     groups = scratch.write(grouped.where("n > 1").select("chunk_hash", "first", (F.col("low") == F.col("high")).alias("same")), "groups")
     equal = groups.where("same").select("chunk_hash", "first")
-    gone = found.select("doc_id", "text_hash", "pos", "chunk_hash").join(equal, "chunk_hash").where(~place.eqNullSafe(F.col("first")))
+    gone = found.select("doc_id", "text_hash", "pos", "chunk_hash").join(equal.hint("merge"), "chunk_hash").where(~place.eqNullSafe(F.col("first")))
     gone = gone.select("doc_id", "text_hash", "pos")
     if groups.where("NOT same").head(1):  # one hash for different chunks
         clash = found.join(groups.where("NOT same").select("chunk_hash"), "chunk_hash", "left_semi")
@@ -73,7 +74,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "lines")
     gone = scratch.write(repeats(spark, docs, scratch), "gone").toDF("_id", "_hash", "_removed")
     keyed = docs.withColumn("_hash0", F.xxhash64("text"))
-    joined = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash0") == F.col("_hash")), "left")
+    joined = keyed.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash0") == F.col("_hash")), "left")
     cut = with_chunks(joined)
     kept = F.expr("array_join(filter(_chunks, (c, k) -> NOT array_contains(_removed, k)), '\n')")
     out = [F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
