@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def importable(spark: SparkSession) -> None:
@@ -48,7 +49,13 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write and reread a table. The shuffle files of the write go with its end: only the table is read again."""
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -69,3 +76,46 @@ def text_runs(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, texts[start:]
+
+
+def by_group(df: DataFrame, keys: list[str], fn, out: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """Rows of ``fn(columns)`` for each group of ``keys``: columns is a dict of lists, fn gives a list of tuples.
+
+    One sorted stream a task in place of one Arrow table a group, which is what many small groups need. A group is
+    held in memory whole, so callers bound it. ``out``: (name, Arrow type, SQL type) of the result.
+    """
+    names = [*keys, *(c for c in df.columns if c not in keys)]
+
+    def rows_of(found):
+        columns = list(zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind, _) in zip(columns, out)], [n for n, _, _ in out])
+
+    def run(batches):
+        current, held, found = None, None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            tags = list(zip(*columns[: len(keys)]))
+            begin = 0
+            while begin < len(tags):
+                end = begin + 1
+                while end < len(tags) and tags[end] == tags[begin]:
+                    end += 1
+                part = [c[begin:end] for c in columns]
+                if tags[begin] == current:
+                    for a, b in zip(held, part):
+                        a.extend(b)
+                else:
+                    if held is not None:
+                        found += fn(dict(zip(names, held)))
+                    current, held = tags[begin], part
+                begin = end
+            if len(found) > 10_000:
+                yield rows_of(found)
+                found = []
+        if held is not None:
+            found += fn(dict(zip(names, held)))
+        if found:
+            yield rows_of(found)
+
+    ordered = df.select(*names).repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(run, ", ".join(f"{n} {sql}" for n, _, sql in out))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, text_runs
+from ._common import Scratch, by_group, text_runs
 from .components import components
 
 BINS, ROWS = 128, 8
@@ -34,6 +34,7 @@ HEAVY_TOKENS = 300_000
 BLOCK = 1024
 LEAF = 8
 FILTER_BITS = 1 << 22
+_PAIR = [("a", pa.int64(), "long"), ("b", pa.int64(), "long")]
 
 
 # ---------------------------------------------------------------- sets
@@ -109,9 +110,9 @@ def prefix(s: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
 class Tree:
     """Nodes over sets sorted by size; each holds the OR of its bitmaps, its sizes, and its largest bitmap excess."""
 
-    def __init__(self, sizes, maps, excess, labels, members=None):
-        """members: positions sorted by size."""
-        self.sizes, self.maps, self.excess, self.labels = sizes, maps, excess, labels
+    def __init__(self, sizes: list[int], maps: list[int], excess: list[int], members: list[int]):
+        """members: positions, sorted by size."""
+        self.sizes, self.maps, self.excess = sizes, maps, excess
         level = [self._leaf(members[k : k + LEAF]) for k in range(0, len(members), LEAF)]
         while len(level) > 1:
             level = [self._join(level[k : k + LEAF]) for k in range(0, len(level), LEAF)]
@@ -209,7 +210,7 @@ def exact_links(docs: list[int], sets: list[np.ndarray], left: list[bool], perce
 
     order = sorted(range(len(sets)), key=lambda k: (sizes[k], docs[k]))
     sides = [[k for k in order if left[k]], [k for k in order if not left[k]]]
-    trees = [Tree(sizes, maps, excess, None, side) for side in sides]
+    trees = [Tree(sizes, maps, excess, side) for side in sides]
     if trees[0].root and trees[1].root:
         dual(trees[0].root, trees[1].root, False, percent, visit)
     elif root := trees[0].root or trees[1].root:
@@ -217,33 +218,46 @@ def exact_links(docs: list[int], sets: list[np.ndarray], left: list[bool], perce
     return out
 
 
-def possible_pairs(docs, sizes, raw, groups, left, percent: int) -> list[tuple[int, int]]:
-    """Pairs of different groups that bitmaps can't exclude (``left`` as above; all True: one block)."""
-    least = min(len(x) for x in raw)
-    maps, excess, wide = [], [], [int.from_bytes(x, "little") for x in raw]
-    for x, w in zip(raw, wide):
-        bits = np.frombuffer(x, np.uint8).reshape(-1, least)
-        m = int.from_bytes(np.bitwise_or.reduce(bits, 0).tobytes(), "little")
-        maps.append(m)
-    excess = [n - m.bit_count() for n, m in zip(sizes, maps)]
+def possible_pairs(docs, sizes, raw, groups, left, percent: int, homes=None) -> list[tuple[int, int]]:
+    """Pairs of different groups that bitmaps can't exclude (``left`` as above; all True: one block).
+
+    ``homes``: only pairs with a home are wanted; None: all are homes.
+    """
     out = []
+    wide = [int.from_bytes(x, "little") for x in raw]
+    bits = [w.bit_count() for w in wide]
+    narrow = min(len(x) for x in raw)
+
+    def folded(k):
+        parts = np.frombuffer(raw[k], np.uint8).reshape(-1, narrow)
+        return int.from_bytes(np.bitwise_or.reduce(parts, 0).tobytes(), "little")
 
     def visit(xs, ys, one):
         for i, x in enumerate(xs):
             for y in xs[:i] if one else ys:
                 n, m = sizes[x], sizes[y]
-                if groups[x] == groups[y] or n * 100 < m * percent or m * 100 < n * percent:
+                if groups[x] == groups[y] or n * 100 < m * percent or m * 100 < n * percent or homes and not (homes[x] or homes[y]):
                     continue
-                a, b, ra, rb = wide[x], wide[y], raw[x], raw[y]
-                if len(ra) != len(rb):  # twice as wide at most, by the sizes
-                    a, b = maps[x], maps[y]
-                over = min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
+                if len(raw[x]) == len(raw[y]):
+                    both = (wide[x] & wide[y]).bit_count()
+                    over = min(n - bits[x] + both, m - bits[y] + both)  # a bit of one side only is a token of one side only
+                else:  # twice as wide at most, by the sizes
+                    a, b = folded(x), folded(y)
+                    over = min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
                 if over * (100 + percent) >= percent * (n + m):
                     out.append((min(docs[x], docs[y]), max(docs[x], docs[y])))
 
     order = sorted(range(len(docs)), key=lambda k: (sizes[k], docs[k]))
     sides = [[k for k in order if left[k]], [k for k in order if not left[k]]]
-    trees = [Tree(sizes, maps, excess, None, side) for side in sides]
+    if len(order) <= 2 * LEAF:  # one leaf a side: no tree to traverse
+        if sides[0] and sides[1]:
+            visit(sides[0], sides[1], False)
+        else:
+            visit(sides[0] or sides[1], None, True)
+        return out
+    maps = [folded(k) for k in range(len(docs))]
+    excess = [n - m.bit_count() for n, m in zip(sizes, maps)]
+    trees = [Tree(sizes, maps, excess, side) for side in sides]
     if trees[0].root and trees[1].root:
         dual(trees[0].root, trees[1].root, False, percent, visit)
     elif root := trees[0].root or trees[1].root:
@@ -347,14 +361,12 @@ def _cluster_links(spark, docs, n, percent, clusters: DataFrame) -> DataFrame:
     counts = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n_group"))
     dealt = _block_pairs(sets, counts, ["cluster"])
 
-    def link(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_pylist()
-        grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        one = table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
-        found = exact_links(ids, grams, [True] * len(ids) if one else table.column("is_left").to_pylist(), percent)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    def link(group: dict) -> list[tuple[int, int]]:
+        one = group["bi"][0] == group["bj"][0]
+        grams = [np.frombuffer(x, np.uint64) for x in group["grams"]]
+        return exact_links(group["doc_id"], grams, [True] * len(grams) if one else group["is_left"], percent)
 
-    return dealt.groupBy("cluster", "bi", "bj").applyInArrow(link, "a long, b long")
+    return by_group(dealt, ["cluster", "bi", "bj"], link, _PAIR)
 
 
 def _cross_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
@@ -395,13 +407,16 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     dealt = _block_pairs(shared, counts, ["token", "c"])
     with_bits = dealt.join(reps.select("doc_id", "bits").dropDuplicates(["doc_id"]).hint("merge"), "doc_id")
 
-    def pairs(table: pa.Table) -> pa.Table:
-        ids, sizes = table.column("doc_id").to_pylist(), table.column("n_shingles").to_pylist()
-        one = table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
-        found = possible_pairs(ids, sizes, table.column("bits").to_pylist(), table.column("cluster").to_pylist(), [True] * len(ids) if one else table.column("is_left").to_pylist(), percent)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    def pairs(group: dict) -> list[tuple[int, int]]:
+        # guests of the class above meet homes only, so a pair meets in one group of a token
+        homes = [not g for g in group["guest"]]
+        if not any(homes):
+            return []
+        one = group["bi"][0] == group["bj"][0]
+        left = [True] * len(homes) if one else group["is_left"]
+        return possible_pairs(group["doc_id"], group["n_shingles"], group["bits"], group["cluster"], left, percent, homes)
 
-    candidates = scratch.write(with_bits.groupBy("token", "c", "bi", "bj").applyInArrow(pairs, "a long, b long").where("a <> b").distinct(), "candidates")
+    candidates = scratch.write(by_group(with_bits, ["token", "c", "bi", "bj"], pairs, _PAIR).where("a <> b").distinct(), "candidates")
     outer = _verified(spark, docs, n, percent, candidates, scratch)
     links = inner.unionByName(outer)
     found = scratch.write(components(links, scratch, "final"), "final")
