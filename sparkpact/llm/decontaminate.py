@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._common import text_runs
 
 Q = 8
-ERROR_RATE = 0.08
+ERROR_RATE = 0.1
 SEGMENT = 120
 MIN_CHARS = 30
 BLOCK_CHARS = 4_000_000
