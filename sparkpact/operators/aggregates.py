@@ -116,3 +116,13 @@ def first_by(df, keys, order):
     """The first row of each key by ``order`` (DISTINCT ON)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name) AS names FROM nation GROUP BY 1")
+def listagg_within_group(t):
+    return t.sql("SELECT n_regionkey, listagg(n_name, ';') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey", "nation")
+
+
+@query("SELECT o_orderstatus, bool_and(o_totalprice > 1000) AS every_big, bool_or(o_totalprice > 400000) AS any_huge, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS top FROM orders GROUP BY 1")
+def bool_and_max_by(t):
+    return t.orders.groupBy("o_orderstatus").agg(F.bool_and(F.col("o_totalprice") > 1000).alias("every_big"), F.bool_or(F.col("o_totalprice") > 400000).alias("any_huge"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("top"))

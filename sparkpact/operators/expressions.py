@@ -110,3 +110,43 @@ def json_build_array(t):
 def case_insensitive_text(t):
     folded = F.collate("n_name", "UTF8_LCASE")
     return t.nation.where((folded == "Nation_3") | (folded == "NATION_7")).select("n_name")
+
+
+@query("SELECT n_nationkey, struct_extract(n, 'n_name') AS name FROM (SELECT n_nationkey, nation AS n FROM nation)")
+def whole_row(t):
+    return t.nation.select("n_nationkey", F.struct("*").alias("n")).select("n_nationkey", F.col("n.n_name").alias("name"))
+
+
+@query("SELECT a, b FROM (SELECT n_nationkey, n_name FROM nation) AS s(a, b) WHERE a > 3")
+def column_alias_list(t):
+    return t.nation.select("n_nationkey", "n_name").toDF("a", "b").where("a > 3")
+
+
+@query("SELECT event_id, event_type || '=' || CAST(user_id AS VARCHAR) AS pair, TRUE AS has_key FROM events")
+def map_values(t):
+    """Key-value text type as a map."""
+    m = F.create_map(F.col("event_type"), F.col("user_id").cast("string"))
+    return t.events.select("event_id", F.concat(F.map_keys(m)[0], F.lit("="), F.element_at(m, F.col("event_type"))).alias("pair"), F.map_contains_key(m, F.col("event_type")).alias("has_key"))
+
+
+@query("""SELECT n_nationkey, array_to_string(list_transform([n_nationkey, n_regionkey, 1], lambda x: CASE WHEN x = 1 THEN 99 ELSE x END), ',') AS replaced,
+          array_to_string(list_sort([n_regionkey, n_nationkey, 1]), ',') AS sorted, [n_nationkey, 5] < [n_regionkey, 6] AS less FROM nation""")
+def array_replace_sort(t):
+    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    a = F.array("n_nationkey", "n_regionkey", F.lit(1))
+    less = F.array("n_nationkey", F.lit(5)) < F.array("n_regionkey", F.lit(6))
+    return t.nation.select("n_nationkey", text(F.transform(a, lambda x: F.when(x == 1, 99).otherwise(x))).alias("replaced"), text(F.array_sort(F.array("n_regionkey", "n_nationkey", F.lit(1)))).alias("sorted"), less.alias("less"))
+
+
+@query("SELECT p_brand, CASE WHEN max(p_size) < min(p_size + 30) THEN max(p_size) END AS lo, CASE WHEN max(p_size) < min(p_size + 30) THEN min(p_size + 30) END AS hi FROM part GROUP BY p_brand")
+def range_intersect_agg(t):
+    """Intersection of a group's half-open ranges: the largest lower and the smallest upper bound."""
+    got = t.part.groupBy("p_brand").agg(F.max("p_size").alias("a"), F.min(F.col("p_size") + 30).alias("b"))
+    r = ranges.make_range(F.col("a"), F.col("b"))
+    return got.select("p_brand", ranges.lower_bound(r).alias("lo"), ranges.upper_bound(r).alias("hi"))
+
+
+@query("SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, CAST(extract(year FROM o_orderdate) AS INTEGER) AS year, lower(o_orderpriority) AS p, abs(o_totalprice - 100000) AS off FROM orders")
+def scalar_library(t):
+    month = F.date_trunc("month", F.col("o_orderdate")).cast("timestamp_ntz")
+    return t.orders.select("o_orderkey", month.alias("month"), F.year("o_orderdate").alias("year"), F.lower("o_orderpriority").alias("p"), F.abs(F.col("o_totalprice") - 100000).alias("off"))

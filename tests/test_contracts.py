@@ -163,3 +163,25 @@ def test_declared_facts_hold(views):
 
 def test_undeclared_facts_are_not_used(views):
     assert contract(views, "select c_custkey as x from customer where c_custkey = 1", Schema()).bounds.max is None
+
+
+def test_udf_volatility(views):
+    from pyspark.sql.functions import udf
+
+    views.udf.register("steady", udf(lambda x: x, "int"))
+    views.udf.register("shaky", udf(lambda x: x, "int").asNondeterministic())
+    assert contract(views, "select steady(c_nationkey) as x from customer").access == "read"
+    assert contract(views, "select shaky(c_nationkey) as x from customer").access_reasons == ["volatileExecution"]
+
+
+def test_zero_columns(views):
+    assert views.range(1).select().columns == [] and views.range(1).select().count() == 1
+
+
+def test_analysis_runs_no_job(views):
+    """A contract comes from the plan alone."""
+    tracker = views.sparkContext.statusTracker()
+    views.sparkContext.setJobGroup("contracts", "analysis")
+    contract(views, "select c_name, count(*) as n from customer c join orders o on o.o_custkey = c.c_custkey where c_custkey = :id group by c_name")
+    assert list(tracker.getJobIdsForGroup("contracts")) == []
+    views.sparkContext.setJobGroup("rest", "")
