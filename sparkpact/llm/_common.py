@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FALLBACK:
-        _LOCAL_FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="sparkpact-")
+        folder = tempfile.mkdtemp(prefix="sparkpact-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_FALLBACK[app] = f"file://{folder}"
     return _LOCAL_FALLBACK[app]
 
 
