@@ -5,7 +5,10 @@ anchors at equal places, so only suffixes that start at an anchor need sorting,
 same anchor string. A context is what windows around the anchor can reach: up to LENGTH - GRAM bytes before it and
 LENGTH from it on.
 
-1. A scan gives anchors with a digest of their context. Equal contexts are combined first: their windows repeat.
+1. A window reaches far to the left of its anchor or far to the right, so an anchor whose two side strings occur
+   once is in no repeat. A scan counts side keys; the repeated ones pass to a bit array of fixed size, and a second
+   scan gives the anchors that it lets pass, with a digest of their context. Equal contexts are combined first:
+   their windows repeat.
 2. For anchors with different contexts, the contexts are sorted by the bytes from the anchor on (a sparse suffix
    array), neighbours give common prefixes, and a stack scan gives the tree of common-prefix intervals. In an
    interval of depth r, members repeat with those whose left extensions agree for LENGTH - r bytes; extensions that
@@ -28,11 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, text_runs
+from ._common import Scratch, by_group, text_runs
 
 LENGTH, GRAM = 400, 64
-MANY = 4096
-FILTER_BITS = 24
+MANY = 50_000
+CELL = 48
+FILTER_BITS = 25
 
 
 # ---------------------------------------------------------------- anchors
@@ -136,8 +140,8 @@ def repeated_reach(lefts: list[bytes], rights: list[bytes], length: int = LENGTH
 
 # ---------------------------------------------------------------- Spark
 
-def _marked(spark: SparkSession, rows: DataFrame, column: str):
-    """Broadcast bit array of fixed size that holds a long column's values (and some others)."""
+def _marked(spark: SparkSession, rows: DataFrame):
+    """Broadcast bit array of fixed size that holds a long column's values (and lets some others pass)."""
 
     def mark(batches):
         bits = np.zeros(1 << FILTER_BITS, bool)
@@ -146,7 +150,7 @@ def _marked(spark: SparkSession, rows: DataFrame, column: str):
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     merged = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for row in rows.select(column).coalesce(16).mapInArrow(mark, "bits binary").toLocalIterator():
+    for row in rows.coalesce(6).mapInArrow(mark, "bits binary").toLocalIterator():
         merged |= np.frombuffer(row.bits, np.uint8)
     return spark.sparkContext.broadcast(merged.tobytes())
 
@@ -156,131 +160,183 @@ def _slots(values: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _unpack(shared) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+def _among(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = _slots(values)
+    return (packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
 
 
-_PLACE = ["doc_id", "th", "pos", "anchor", "c1", "c2", "before", "after"]
+def _sides(raw: bytes, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two keys an anchor. A window reaches ``near`` bytes before the anchor, or its rest after it: the left key
+    covers ``near`` bytes before and the anchor string, the right key all bytes after that a window with a shorter
+    left part holds. Keys of places that lie too near an end of the text differ from all others."""
+    near = (length - gram) // 2
+    far = length - near
+    left = [xxhash.xxh3_64_intdigest(raw[p - near : p + gram], 1) if p >= near else 0 for p in at.tolist()]
+    right = [xxhash.xxh3_64_intdigest(raw[p : p + far], 2) if p + far <= len(raw) else 0 for p in at.tolist()]
+    return np.array(left, np.uint64).view(np.int64), np.array(right, np.uint64).view(np.int64)
 
 
-def _scan(docs: DataFrame, length: int, gram: int, wanted=None) -> DataFrame:
-    """Anchors of every text with context digests; with ``wanted`` only marked anchors, and the contexts' bytes."""
+def _side_keys(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for _, texts in text_runs(batch, "text", 1 << 20):
+                for t in texts:
+                    raw = t.encode()
+                    keys = np.concatenate(_sides(raw, anchors(raw, length, gram)[0], length, gram))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[keys != 0])], ["key"])
+
+    long_enough = docs.where(F.octet_length("text") >= length).select("text")
+    return long_enough.mapInArrow(run, "key long")
+
+
+def _scan(docs: DataFrame, length: int, gram: int, keys) -> DataFrame:
+    """Anchors of every text with a marked side key, and digests of their contexts."""
     side = length - gram
 
     def run(batches):
-        bits = _unpack(wanted) if wanted is not None else None
+        marked = np.frombuffer(keys.value, np.uint8)
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1)
+            th = hashes.to_numpy(zero_copy_only=False)
             for start, texts in text_runs(batch, "text", 1 << 20):
-                rows, place, left, right = [], [], [], []
-                digests = bytearray()
+                rows, place, digests = [], [], bytearray()
                 for k, t in enumerate(texts):
-                    raw = t.encode() if t else b""
+                    raw = t.encode()
                     at, h = anchors(raw, length, gram)
-                    if bits is not None:
-                        keep = bits[_slots(h.view(np.int64))]
-                        at, h = at[keep], h[keep]
+                    keep = np.logical_or(*(_among(marked, x) & (x != 0) for x in _sides(raw, at, length, gram)))
+                    at, h = at[keep], h[keep]
                     if not len(at):
                         continue
                     before, after = np.minimum(at, side), np.minimum(len(raw) - at, length)
                     for p, b, a in zip(at.tolist(), before.tolist(), after.tolist()):
                         digests += xxhash.xxh3_128_digest(raw[p - b : p + a], seed=b)
-                        if bits is not None:
-                            left.append(raw[p - b : p][::-1])
-                            right.append(raw[p : p + a])
                     rows.append(np.full(len(at), start + k))
-                    place.append((at, h.view(np.int64), before, after))
+                    place.append((at, h.view(np.int64), before, after, _codes(at, h, th[start + k])))
                 if not rows:
                     continue
                 row = pa.array(np.concatenate(rows))
-                at, h, before, after = (np.concatenate(x) for x in zip(*place))
+                at, h, before, after, code = (np.concatenate(x) for x in zip(*place))
                 digest = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
-                columns = [ids.take(row), hashes.take(row), pa.array(at.astype(np.int32)), pa.array(h), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(before.astype(np.int16)), pa.array(after.astype(np.int16))]
-                if bits is not None:
-                    columns += [pa.array(left, pa.binary()), pa.array(right, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays([ids.take(row), hashes.take(row), pa.array(at.astype(np.int32)), pa.array(h), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(before.astype(np.int16)), pa.array(after.astype(np.int16)), pa.array(code)], names)
 
-    names = _PLACE + ([] if wanted is None else ["lefts", "rights"])
-    kinds = "doc_id long, th long, pos int, anchor long, c1 long, c2 long, before short, after short" + ("" if wanted is None else ", lefts binary, rights binary")
+    kinds = "doc_id long, th long, pos int, anchor long, c1 long, c2 long, before short, after short, code long"
+    names = [k.split()[0] for k in kinds.split(", ")]
     return _keyed(docs).where(F.octet_length("text") >= length).mapInArrow(run, kinds)
 
 
+def _codes(at: np.ndarray, h: np.ndarray, th) -> np.ndarray:
+    """A number for each place, to mark places with."""
+    return (at.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ h ^ np.uint64(int(th) & (1 << 64) - 1)).view(np.int64)
+
+
+def _contexts(docs: DataFrame, length: int, gram: int, chosen, places, hot, want_hot: bool) -> DataFrame:
+    """anchor, c1, c2, lefts (reversed), rights: the bytes of marked places of marked anchors, hot ones or others.
+
+    Marks let some more pass: a place of a context that is there already, or an anchor that stands alone. Both are
+    harmless to what follows.
+    """
+    side = length - gram
+
+    def run(batches):
+        anchor_bits, place_bits = np.frombuffer(chosen.value, np.uint8), np.frombuffer(places.value, np.uint8)
+        hot_bits = np.frombuffer(hot.value, np.uint8) if hot is not None else None
+        for batch in batches:
+            th = batch.column(0).to_numpy(zero_copy_only=False)
+            for start, texts in text_runs(batch, "text", 1 << 20):
+                hashes, left, right, digests = [], [], [], bytearray()
+                for k, t in enumerate(texts):
+                    raw = t.encode()
+                    at, h = anchors(raw, length, gram)
+                    keep = _among(anchor_bits, h.view(np.int64)) & _among(place_bits, _codes(at, h, th[start + k]))
+                    if hot_bits is not None:
+                        keep &= _among(hot_bits, h.view(np.int64)) == want_hot
+                    for p in at[keep].tolist():
+                        before = min(p, side)
+                        digests += xxhash.xxh3_128_digest(raw[p - before : p + length], seed=before)
+                        left.append(raw[p - before : p][::-1])
+                        right.append(raw[p : p + length])
+                    hashes.append(h[keep].view(np.int64))
+                digest = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names)
+
+    names = ["anchor", "c1", "c2", "lefts", "rights"]
+    return _keyed(docs).where(F.octet_length("text") >= length).select("th", "text").mapInArrow(run, "anchor long, c1 long, c2 long, lefts binary, rights binary")
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """doc_id, th (hash of the text), spans: array of (start, stop), which overlap, of repeated bytes."""
-    found = scratch.write(_scan(docs, length, gram), "anchors")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    found = scratch.write(found.join(often.hint("merge"), "anchor", "left_semi").select(*_PLACE), "often")
-    scratch.drop("anchors")
-    place = F.struct("doc_id", "th", "pos")
-    contexts = scratch.write(found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("first")), "contexts")
-    several = scratch.write(contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"), "several")
-    # contexts of anchors that have several: one occurrence's bytes of each
-    need = contexts.join(several.hint("merge"), "anchor").select("anchor", "c1", "c2", "n_contexts", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.pos").alias("pos"))
-    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("anchor", "c1", "c2", "doc_id", "th", "pos")]
-    scanned = _scan(docs, length, gram, _marked(spark, several, "anchor"))
-    texts = scanned.alias("x").join(need.alias("y").hint("merge"), on).select("x.anchor", "x.c1", "x.c2", "lefts", "rights", "n_contexts")
-
-    def solve(batches):
-        held: list[tuple] = []
-
-        def verdicts():
-            unique = {(r[1], r[2]): r for r in held}
-            rows = list(unique.values())
-            reach = repeated_reach([r[3] for r in rows], [r[4] for r in rows], length) if len(rows) > 1 else []
-            return [(r[0], r[1], r[2], x, y) for r, (x, y) in zip(rows, reach) if x + y >= length]
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(),) * 3 + (pa.int16(),) * 2)], ["anchor", "c1", "c2", "l", "r"])
-
-        out = []
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if held and held[0][0] != row[0]:
-                    out += verdicts()
-                    held.clear()
-                held.append(row)
-            if len(out) > 10_000:
-                yield batch_of(out)
-                out = []
-        out += verdicts() if held else []
-        if out:
-            yield batch_of(out)
-
-    few = texts.where(F.col("n_contexts") <= many).drop("n_contexts").repartition("anchor").sortWithinPartitions("anchor")
-    solved = few.mapInArrow(solve, "anchor long, c1 long, c2 long, l short, r short")
-    if several.where(F.col("n_contexts") > many).head(1):
-        solved = solved.unionByName(_by_windows(texts.where(F.col("n_contexts") > many), length))
+    twice = scratch.write(_side_keys(docs, length, gram).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    found = scratch.write(_scan(docs, length, gram, _marked(spark, twice)), "found")
+    scratch.drop("keys")
+    contexts = scratch.write(found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n"), F.min("code").alias("code")), "contexts")
+    # anchors with several contexts, one at least that is not known to repeat as a whole
+    several = scratch.write(contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts"), F.min("n").alias("least")).where("n_contexts > 1 AND least = 1").drop("least"), "several")
+    chosen, places = _marked(spark, several.select("anchor")), _marked(spark, contexts.select("code"))
+    crowded = several.where(F.col("n_contexts") > many).select("anchor")
+    hot = _marked(spark, crowded) if crowded.head(1) else None
+
+    def solve(group: dict) -> list[tuple]:
+        unique = {(x, y): (a, b) for x, y, a, b in zip(group["c1"], group["c2"], group["lefts"], group["rights"])}
+        if len(unique) < 2:
+            return []
+        reach = repeated_reach([a for a, _ in unique.values()], [b for _, b in unique.values()], length)
+        return [(group["anchor"][0], c1, c2, x, y) for (c1, c2), (x, y) in zip(unique, reach) if x + y >= length]
+
+    columns = [(n, pa.int64(), "long") for n in ("anchor", "c1", "c2")] + [(n, pa.int16(), "short") for n in ("l", "r")]
+    solved = by_group(_contexts(docs, length, gram, chosen, places, hot, False), ["anchor"], solve, columns)
+    if hot is not None:
+        texts = scratch.write(_contexts(docs, length, gram, chosen, places, hot, True), "hot")
+        solved = solved.unionByName(_by_windows(texts, length, gram))
     equal = contexts.where("n > 1").select("anchor", "c1", "c2", F.lit(None).cast("short").alias("l"), F.lit(None).cast("short").alias("r"))
+    # a context may be in both: the equal one covers all of it
     verdict = scratch.write(equal.unionByName(solved), "verdicts")
     spans = found.join(verdict.hint("merge"), ["anchor", "c1", "c2"]).select(
         "doc_id", "th", (F.col("pos") - F.coalesce("l", "before")).alias("start"), (F.col("pos") + F.coalesce("r", "after")).alias("stop")
     ).where(F.col("stop") - F.col("start") >= length)
-    return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    out = scratch.write(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    for name in ("found", "contexts", "several", "verdicts"):
+        scratch.drop(name)
+    return out
+
 
+def _by_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The verdicts of anchors with very many contexts, by digests that are counted across tasks.
 
-def _by_windows(texts: DataFrame, length: int) -> DataFrame:
-    """The verdicts of anchors with very many contexts: every window is counted by its digest."""
+    Windows with j bytes before the anchor, low <= j < low + CELL, share ``low`` bytes before it and
+    length - low - CELL from it on, so a cell in which a context stands alone needs no window.
+    """
 
-    def windows(batches):
+    def digest_rows(batches, cells: bool):
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
-                left, right = row["lefts"][::-1], row["rights"]
-                both = left + right
-                js = [j for j in range(len(left) + 1) if length - j <= len(right)]
-                raw = b"".join(xxhash.xxh3_128_digest(both[len(left) - j : len(left) - j + length]) for j in js)
-                f = np.frombuffer(raw, np.int64).reshape(-1, 2)
-                fixed = [pa.array(np.full(len(js), row[c], np.int64)) for c in ("anchor", "c1", "c2")]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array(js, pa.int32()), pa.array(f[:, 0]), pa.array(f[:, 1])], ["anchor", "c1", "c2", "j", "f1", "f2"])
-
-    rows = texts.dropDuplicates(["anchor", "c1", "c2"]).select("anchor", "c1", "c2", "lefts", "rights").mapInArrow(windows, "anchor long, c1 long, c2 long, j int, f1 long, f2 long")
+                left, right, low = row["lefts"], row["rights"], row.get("low")
+                span = range(0, length - gram + 1, CELL) if cells else range(low, min(low + CELL, length - gram + 1))
+                for j in span:
+                    need = max(gram, length - j - CELL) if cells else length - j
+                    if j <= len(left) and need <= len(right):
+                        out.append((row["anchor"], row["c1"], row["c2"], j, xxhash.xxh3_128_digest(left[:j] + right[:need])))
+            if out:
+                a, c1, c2, j, f = zip(*out)
+                g = np.frombuffer(b"".join(f), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(j, pa.int32()), pa.array(g[:, 0]), pa.array(g[:, 1])], ["anchor", "c1", "c2", "j", "f1", "f2"])
+
+    kinds = "anchor long, c1 long, c2 long, j int, f1 long, f2 long"
+    own = texts.dropDuplicates(["anchor", "c1", "c2"])
     # one anchor at one distance: a window with two anchors must not meet itself
-    same = ["anchor", "j", "f1", "f2"]
-    twice = rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(twice.hint("merge"), same).groupBy("anchor", "c1", "c2").agg(F.max("j").cast("short").alias("l"), (length - F.min("j")).cast("short").alias("r"))
+    same, context = ["anchor", "j", "f1", "f2"], ["anchor", "c1", "c2"]
+
+    def shared(rows):
+        again = rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        return rows.join(again.hint("merge"), same)
+
+    cells = shared(own.mapInArrow(lambda b: digest_rows(b, True), kinds)).select(*context, F.col("j").alias("low"))
+    windows = own.join(cells.hint("merge"), context).mapInArrow(lambda b: digest_rows(b, False), kinds)
+    return shared(windows).groupBy(*context).agg(F.max("j").cast("short").alias("l"), (length - F.min("j")).cast("short").alias("r"))
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -303,13 +359,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     occurrence, so what they share goes. Other columns are not read.
     """
     scratch = Scratch(spark, "repeats")
-    spans = scratch.write(repeated_spans(spark, docs, scratch, length, gram, many), "spans")
-    bits = _marked(spark, spans, "th")
+    spans = repeated_spans(spark, docs, scratch, length, gram, many)
+    bits = _marked(spark, spans.select("th"))
 
     def chosen(batches):
-        wanted = _unpack(bits)
+        wanted = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            yield batch.filter(pa.array(wanted[_slots(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64))]))
+            yield batch.filter(pa.array(_among(wanted, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64))))
 
     keyed = _keyed(docs)
     part = keyed.where("text IS NOT NULL").mapInArrow(chosen, "doc_id long, th long, text string")
@@ -326,7 +382,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
             a, b, c = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], ["doc_id", "th", "n_removed", "n_spans", "kept"])
 
-    changed = met.mapInArrow(finish, "doc_id long, th long, n_removed long, n_spans long, kept string").dropDuplicates(["doc_id", "th"])
+    changed = scratch.write(met.mapInArrow(finish, "doc_id long, th long, n_removed long, n_spans long, kept string").dropDuplicates(["doc_id", "th"]), "changed")
     raw = F.coalesce("text", F.lit(""))
     base = keyed.select("doc_id", "th", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw.cast("binary"), 256).alias("full"))
     zero = F.lit(0).cast("long")
