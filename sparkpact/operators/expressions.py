@@ -6,10 +6,10 @@ from ..functions import json_text, null_rows, ranges
 from .registry import query
 
 
-@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS as_text, CAST(p_retailprice AS DECIMAL(12,2)) AS as_decimal, CAST(p_size AS BIGINT) AS wide, CAST(CAST(p_size AS DOUBLE) AS INTEGER) AS back FROM part")
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS as_text, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS as_decimal, CAST(p_size AS BIGINT) AS wide, CAST(CAST(p_size AS DOUBLE) AS INTEGER) AS back FROM part")
 def cast_family(t):
     c = F.col
-    return t.part.select("p_partkey", c("p_size").cast("string").alias("as_text"), c("p_retailprice").cast("decimal(12,2)").alias("as_decimal"), c("p_size").cast("long").alias("wide"), c("p_size").cast("double").cast("int").alias("back"))
+    return t.part.select("p_partkey", c("p_size").cast("string").alias("as_text"), c("p_retailprice").cast("decimal(12,2)").cast("double").alias("as_decimal"), c("p_size").cast("long").alias("wide"), c("p_size").cast("double").cast("int").alias("back"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' END AS size_class FROM part")

@@ -72,9 +72,9 @@ def intersect_all(t):
     return a.intersectAll(b)
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900")
 def except_distinct(t):
-    return t.nation.select(F.col("n_nationkey").alias("k")).subtract(t.customer.where("c_acctbal > 9000").select("c_nationkey"))
+    return t.nation.select(F.col("n_nationkey").alias("k")).subtract(t.customer.where("c_acctbal > 9900").select("c_nationkey"))
 
 
 @query(f"{_A} EXCEPT ALL {_B}")
@@ -83,9 +83,9 @@ def except_all(t):
     return a.exceptAll(b)
 
 
-@query("(SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region) EXCEPT (SELECT s_nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer)")
+@query("(SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region) EXCEPT (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000 INTERSECT SELECT c_nationkey FROM customer)")
 def nested_setops(t):
-    both = t.supplier.select("s_nationkey").intersect(t.customer.select("c_nationkey"))
+    both = t.supplier.where("s_acctbal > 8000").select("s_nationkey").intersect(t.customer.select("c_nationkey"))
     return t.nation.select(F.col("n_nationkey").alias("k")).union(t.region.select("r_regionkey")).distinct().subtract(both)
 
 
