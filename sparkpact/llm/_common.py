@@ -13,11 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+MAX_BATCH_BYTES = 8 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers of a local run import this package from where the driver has it."""
+    """Let Python workers of a local run import this package from where the driver has it, and bound Arrow batches by
+    bytes: by rows alone, a batch of very long texts could be of any size."""
+    known = spark.conf.get(_BATCH_BYTES).rstrip("b")
+    if not known.isdigit() or int(known) > MAX_BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(MAX_BATCH_BYTES))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:

@@ -33,8 +33,8 @@ from ._common import text_runs
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 LEXICON_WORDS = 1 << 16
-MIN_LOCAL_COUNT = 4
-MEMO_ENTRIES = 400_000
+MIN_LOCAL_COUNT = 3
+MEMO_ENTRIES = 250_000
 _MAGIC = b"MATL0001"
 
 
@@ -206,25 +206,36 @@ class _Pieces(dict):
 class WordCodec:
     def __init__(self, tokenizer_path: str, ranks_path: str, lexicon: TransducerLexicon | None = None):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.library = Tokenizer.from_file(tokenizer_path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        added = spec["added_tokens"]
+        self.vocabulary = 1 + max(max(spec["model"]["vocab"].values()), *(t["id"] for t in added))
+        del spec
+        self.tokenizer_path, self._library = tokenizer_path, None
+        self.specials = [t["content"] for t in added]
         ranks = load_ranks(ranks_path)
         self.merges = tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.token_bytes = [b""] * self.library.get_vocab_size()
+        self.token_bytes = [b""] * self.vocabulary
         for token, i in ranks.items():
             self.token_bytes[i] = token
-        for t in spec["added_tokens"]:
+        for t in added:
             self.token_bytes[t["id"]] = t["content"].encode()
         self.token_length = np.array([len(t) for t in self.token_bytes], np.int64)
         self.lexicon = lexicon
         self.memo = _Pieces(self)
 
+    @property
+    def library(self):
+        """The library's tokenizer, loaded when a text first needs it: most never do, and it is large."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.tokenizer_path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
     def merge(self, piece: str) -> bytes:
         if _COMMON.fullmatch(piece):
             ids = self.merges.encode_ordinary(piece)
@@ -305,7 +316,7 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> DataFrame:
     """The most frequent pieces of the whole corpus: word, n. Ties go to the smaller word.
 
     Each task counts its pieces exactly and sends those that occur MIN_LOCAL_COUNT times or more in a run of
-    about 64 MB, so rare words never leave it; the lexicon decides speed only, never ids.
+    about 16 MB, so rare words never leave it; the lexicon decides speed only, never ids.
     """
 
     def count(batches):
@@ -322,7 +333,7 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> DataFrame:
                     if t:
                         total.update(t.split(" ")[1:])
                         size += len(t)
-                if size > 64 << 20 or len(total) > 1_000_000:
+                if size > 16 << 20 or len(total) > 300_000:
                     yield rows()
                     size = 0
         yield rows()
@@ -382,6 +393,7 @@ def _coded(spark, docs, tokenizer_path, ranks_path, lexicon_words, digests):
                 else:
                     a, b = pa.array(ids, pa.binary()), pa.array(list(decoded), pa.string())
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(start, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), a, b], names)
+        own.memo.clear()  # the worker lives on, and other operators need its memory
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
     kinds = ["long", "long", "string", "string"] if digests else ["long", "long", "binary", "string"]

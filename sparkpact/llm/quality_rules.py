@@ -25,7 +25,7 @@ PSEUDO_COUNT = 5.0
 THRESHOLD = -0.05
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\v\f\r"
-_VOCABULARY = 1 << 20
+_VOCABULARY = 1 << 18
 
 
 class _Words(dict):

@@ -51,8 +51,8 @@ def unframe(data: memoryview, at: int) -> bytes:
     return payload
 
 
-def _width(tokenizer) -> str:
-    return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+def _width(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 def write_records(docs: DataFrame, directory: str, end_id: int = 2, tokenizer_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
@@ -70,7 +70,7 @@ def write_records(docs: DataFrame, directory: str, end_id: int = 2, tokenizer_pa
         store.create_dir(base)
         shard, attempt = task.partitionId(), task.taskAttemptId()
         final, draft = f"{base}/shard-{shard:06d}", f"{base}/_draft-{attempt}"
-        width = _width(own.library)
+        width = _width(own.vocabulary)
         end = np.array([end_id], width).tobytes()
         n_docs = n_ids = at = 0
         with store.open_output_stream(f"{draft}.rec") as records, store.open_output_stream(f"{draft}.idx") as index:
@@ -88,6 +88,7 @@ def write_records(docs: DataFrame, directory: str, end_id: int = 2, tokenizer_pa
                     index.write(rows.tobytes())
                     n_docs += len(texts)
                     n_ids += int(rows["n"].sum())
+        own.memo.clear()
         if n_docs:
             for kind in ("rec", "idx"):
                 store.move(f"{draft}.{kind}", f"{final}.{kind}")
