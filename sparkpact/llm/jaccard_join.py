@@ -3,10 +3,10 @@
 1. Each text becomes the sorted set of 64-bit hashes of its n-grams. Equal sets form one class at once; only the
    class representative (smallest doc_id) goes on.
 2. One-permutation min-hash bands give coarse clusters (no link is taken from them).
-3. Pairs within a cluster: the sets of a cluster meet in blocks. A block pair builds two signature trees, whose
-   nodes hold OR-combined token bitmaps and size ranges, and the dual traversal prunes node pairs by the largest
-   overlap that they allow. Leaves compare exact bitmaps over the block's shared tokens. Only links that join two
-   parts of the block are put out, never all pairs.
+3. Pairs within a cluster: the sets of a cluster meet in blocks. A block, or a pair of blocks, builds signature
+   trees, whose nodes hold OR-combined token bitmaps and size ranges, and the dual traversal prunes node pairs by
+   the largest overlap that they allow. Leaves compare exact bitmaps over the block's shared tokens. Only links that
+   join two parts are put out, never all pairs, and parts that are joined are not compared again.
 4. Pairs across clusters: two sets that link share a token of their prefixes (rarest tokens first, by counts in a
    bounded sample, which decides the order alone). Tokens whose prefixes lie in more than one cluster send their
    members to the same tree join, on bitmaps of the whole sets; the pairs it can't exclude are compared exactly.
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, by_group, text_runs
 from .components import components
+from .repeat_spans import _among, _marked
 
 BINS, ROWS = 128, 8
 SAMPLE_DOCS = 8_000
 HEAVY_COUNT = 4
 HEAVY_TOKENS = 300_000
 BLOCK = 1024
+VOCABULARY = 1 << 18
 LEAF = 8
 FILTER_BITS = 1 << 22
 _PAIR = [("a", pa.int64(), "long"), ("b", pa.int64(), "long")]
@@ -45,7 +47,7 @@ class Shingler:
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """Sorted distinct n-gram hashes of each text; fewer than n words make one n-gram, none make none."""
-        if len(self.words) > 1 << 20:
+        if len(self.words) > VOCABULARY:
             self.words, self.hashes = {}, []
         words, hashes, ids = self.words, self.hashes, []
         for t in texts:
@@ -355,32 +357,87 @@ def _block_pairs(rows: DataFrame, counts: DataFrame, key: list[str]) -> DataFram
     return met.withColumn("bi", F.least("_own", "_o")).withColumn("bj", F.greatest("_own", "_o")).withColumn("is_left", F.col("_own") == F.col("bi")).drop("_b", "_own", "_o", "n_group")
 
 
-def _cluster_links(spark, docs, n, percent, clusters: DataFrame) -> DataFrame:
-    """Exact links within clusters (node, component)."""
-    sets = _sets(spark, docs, n, clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
-    counts = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n_group"))
-    dealt = _block_pairs(sets, counts, ["cluster"])
-
-    def link(group: dict) -> list[tuple[int, int]]:
-        one = group["bi"][0] == group["bj"][0]
-        grams = [np.frombuffer(x, np.uint64) for x in group["grams"]]
-        return exact_links(group["doc_id"], grams, [True] * len(grams) if one else group["is_left"], percent)
-
-    return by_group(dealt, ["cluster", "bi", "bj"], link, _PAIR)
+def _cluster_links(spark, docs, n, percent, clusters: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that join what links within a cluster (node, component).
 
-
-def _cross_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of different clusters with a common prefix token that bitmaps can't exclude."""
-    labelled = reps.join(clusters.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left").withColumn("cluster", F.coalesce("component", "doc_id"))
-    # a size class spans one factor of the similarity, so linked sets lie in one class or in two neighbours
-    step = float(np.log(100 / percent)) if percent < 100 else 1.0
-    size_class = F.floor(F.log("n_shingles") / step).cast("int")
-    tokens = labelled.select("doc_id", "cluster", "n_shingles", F.explode("tokens").alias("token")).repartition("token")
-    cross = tokens.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("token")
-    rows = tokens.join(cross.hint("merge"), "token").withColumn("c", size_class)
+    A cluster of one block is compared within the block. A larger one (its sets may be a third of all) takes three
+    steps: each block within itself; all blocks with the first one; then whatever is not in the cluster's largest
+    part with everything. Pairs of one part need no comparison, so the many near copies of one text are sent a few
+    times each, not once for every block.
+    """
+    counts = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n_group"))
+    found = _sets(spark, docs, n, clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))).join(counts.hint("merge"), "cluster")
+    blocks = F.ceil(F.col("n_group") / BLOCK).cast("int")
+    found = found.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int")).drop("n_group")
+    sets = scratch.write(found, "cluster_sets")
+
+    def within(group: dict) -> list[tuple]:
+        ids = group["doc_id"]
+        union = Union(ids)
+        for a, b in exact_links(ids, [np.frombuffer(x, np.uint64) for x in group["grams"]], [True] * len(ids), percent):
+            union.join(a, b)
+        return [(x, union.find(x)) for x in ids]
+
+    def across(group: dict) -> list[tuple]:
+        return exact_links(group["label"], [np.frombuffer(x, np.uint64) for x in group["grams"]], group["is_left"], percent)
+
+    own = scratch.write(by_group(sets.select("cluster", "own", "doc_id", "grams"), ["cluster", "own"], within, [("doc_id", pa.int64(), "long"), ("label", pa.int64(), "long")]), "labels")
+    edges = own.where("doc_id <> label").select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
+    large = sets.where("blocks > 1")
+    if not large.head(1):
+        return edges
+    large = large.join(own.distinct().hint("merge"), "doc_id")
+    first = large.where("own = 0").withColumn("at", F.explode(F.expr("sequence(1, blocks - 1)"))).withColumn("is_left", F.lit(True))
+    others = large.where("own > 0").withColumn("at", F.col("own")).withColumn("is_left", F.lit(False))
+    met = first.unionByName(others).select("cluster", "at", "label", "grams", "is_left")
+    probed = scratch.write(by_group(met, ["cluster", "at"], across, _PAIR), "probed")
+    edges = edges.unionByName(probed)
+
+    parts = scratch.write(components(probed, scratch, "parts"), "parts")
+    named = large.join(parts.select(F.col("node").alias("label"), "component").hint("merge"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+    named = scratch.write(named, "named")
+    sizes = named.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    rest = named.join(largest.hint("merge"), "cluster").where("label <> main").drop("main")
+    n_rest = rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("guests"))
+    guests = rest.join(n_rest.hint("merge"), "cluster").withColumn("guest", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("guests")).cast("int"))
+    guests = guests.withColumn("at", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("is_left", F.lit(True))
+    homes = named.join(n_rest.hint("merge"), "cluster").withColumn("guest", F.explode(F.expr("sequence(0, guests - 1)"))).withColumn("at", F.col("own")).withColumn("is_left", F.lit(False))
+    met = guests.select("cluster", "at", "guest", "label", "grams", "is_left").unionByName(homes.select("cluster", "at", "guest", "label", "grams", "is_left"))
+    return edges.unionByName(by_group(met, ["cluster", "at", "guest"], across, _PAIR))
+
+
+def _shared_tokens(spark: SparkSession, reps: DataFrame, clusters: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, cluster, n_shingles, token, c, guest: members of prefix tokens that lie in more than one cluster.
+
+    Few tokens do. They are found from (token, cluster) alone, and a bit array of fixed size keeps most other tokens
+    from being sent again; the join decides.
+    """
+    named = reps.join(clusters.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
+    labelled = scratch.write(named.select("doc_id", F.coalesce("component", "doc_id").alias("cluster"), "n_shingles", "tokens"), "labelled")
+    spread = labelled.select("cluster", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+    cross = scratch.write(spread.where("lo <> hi").select("token"), "cross")
+    bits = _marked(spark, cross)
+
+    def members(batches):
+        marked = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            tokens = batch.column(3)
+            flat = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(tokens.offsets.to_numpy()))
+            keep = _among(marked, flat)
+            row, flat = pa.array(row[keep]), pa.array(flat[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), batch.column(2).take(row), flat], ["doc_id", "cluster", "n_shingles", "token"])
+
+    rows = labelled.mapInArrow(members, "doc_id long, cluster long, n_shingles long, token long").join(cross.hint("merge"), "token")
+    # a size class spans one factor of the similarity, so linked sets lie in one class or in two neighbours:
     # home rows of class c meet each other and the guests from class c + 1
+    step = float(np.log(100 / percent)) if percent < 100 else 1.0
+    rows = rows.withColumn("c", F.floor(F.log("n_shingles") / step).cast("int"))
     homes, guests = rows.withColumn("guest", F.lit(False)), rows.withColumn("c", F.col("c") - 1).withColumn("guest", F.lit(True))
-    return homes.unionByName(guests)
+    out = scratch.write(homes.unionByName(guests), "shared")
+    scratch.drop("labelled")
+    return out
 
 
 def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -394,15 +451,19 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     sig = scratch.write(signatures(spark, docs, n, percent, _heavy(docs, n)), "signatures")
     linked = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.write(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    base = scratch.write(sig.select("doc_id", "n_shingles", "d1", "d2"), "base")
     reps = scratch.write(linked.join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").drop("d1", "d2"), "reps")
+    scratch.drop("signatures")
 
     banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     coarse = banded.join(hubs.hint("merge"), ["band", "key"]).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = scratch.write(components(coarse, scratch, "coarse"), "clusters")
-    inner = scratch.write(_cluster_links(spark, docs, n, percent, clusters), "inner")
+    inner = scratch.write(_cluster_links(spark, docs, n, percent, clusters, scratch), "inner")
+    for name in ("cluster_sets", "labels", "probed", "parts", "named"):
+        scratch.drop(name)
 
-    shared = scratch.write(_cross_pairs(reps, clusters, percent), "shared")
+    shared = _shared_tokens(spark, reps, clusters, percent, scratch)
     counts = shared.groupBy("token", "c").agg(F.count("*").alias("n_group"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").drop("lo", "hi")
     dealt = _block_pairs(shared, counts, ["token", "c"])
     with_bits = dealt.join(reps.select("doc_id", "bits").dropDuplicates(["doc_id"]).hint("merge"), "doc_id")
@@ -420,8 +481,10 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     outer = _verified(spark, docs, n, percent, candidates, scratch)
     links = inner.unionByName(outer)
     found = scratch.write(components(links, scratch, "final"), "final")
+    for name in ("reps", "shared", "sets", "candidates"):
+        scratch.drop(name)
     labelled = classes.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "d1", "d2").join(labelled.hint("merge"), ["d1", "d2"], "left")
+    out = base.join(labelled.hint("merge"), ["d1", "d2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("component_id").isNull() | F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
