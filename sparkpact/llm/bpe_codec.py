@@ -344,9 +344,10 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> DataFrame:
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, tokenizer_path: str, ranks_path: str, words: int = LEXICON_WORDS) -> str:
     """Compile the lexicon (at most ``words`` entries, a bounded file) and ship it; returns its file name."""
-    from ._common import shared_dir
+    from ._common import Scratch, shared_dir
 
-    top = [r.word for r in frequent_words(docs, words).collect()]
+    # written first: the tasks' top words then meet in an executor, and the driver gets ``words`` rows only
+    top = [r.word for r in Scratch(spark, "lexicon").write(frequent_words(docs, words), "words").collect()]
     own = codec(tokenizer_path, ranks_path)
     data = compile_lexicon({w.encode(): tuple(np.frombuffer(ids, "<i4").tolist()) for w in top if (ids := own.memo[w])})
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.mat"

@@ -269,7 +269,7 @@ def possible_pairs(docs, sizes, raw, groups, left, percent: int, homes=None) ->
 
 # ---------------------------------------------------------------- Spark
 
-def _heavy(docs: DataFrame, n: int) -> np.ndarray:
+def _heavy(docs: DataFrame, n: int, scratch: Scratch) -> np.ndarray:
     """Tokens that HEAVY_COUNT or more of a bounded sample hold (HEAVY_TOKENS of them at most), with counts."""
     sample = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
 
@@ -281,7 +281,8 @@ def _heavy(docs: DataFrame, n: int) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["token"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi").select("text").mapInArrow(tokens, "token long")
-    often = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY_COUNT).orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS).toPandas()
+    top = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY_COUNT).orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS)
+    often = scratch.write(top, "heavy").toPandas()  # written first: the driver gets the limit's rows only
     out = np.zeros(len(often), np.dtype([("token", "<u8"), ("n", "<i8")]))
     out["token"], out["n"] = often["token"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     return np.sort(out, order="token")
@@ -448,7 +449,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     doc_id has no links and a null component. Other columns are not read.
     """
     scratch = Scratch(spark, "jaccard")
-    sig = scratch.write(signatures(spark, docs, n, percent, _heavy(docs, n)), "signatures")
+    sig = scratch.write(signatures(spark, docs, n, percent, _heavy(docs, n, scratch)), "signatures")
     linked = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.write(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     base = scratch.write(sig.select("doc_id", "n_shingles", "d1", "d2"), "base")
