@@ -111,10 +111,12 @@ class SegmentIndex:
         if not len(good):
             return none
         # of these, count each q-gram of the segment once: repetitive texts meet one again and again
-        inside = np.isin(key, good)
-        both = np.unique(key[inside] * 256 + np.concatenate((self.at[rows], self.at[rows]))[inside])
-        keys, counts = np.unique(both >> 8, return_counts=True)
-        segment, band = keys >> 40, keys & ((1 << 40) - 1)
+        # keys are numbered densely before they are packed with the q-gram's place: both would not fit 64 bits
+        number = np.minimum(np.searchsorted(good, key), len(good) - 1)
+        inside = good[number] == key
+        both = np.unique(number[inside] * 256 + np.concatenate((self.at[rows], self.at[rows]))[inside])
+        number, counts = np.unique(both >> 8, return_counts=True)
+        segment, band = good[number] >> 40, good[number] & ((1 << 40) - 1)
         good = counts >= self.bound[segment]
         return segment[good], band[good] * self.band - 2 * SEGMENT
 

@@ -145,6 +145,17 @@ def test_leaks(spark):
     assert D.matches(spark, docs, bench.limit(0)).count() == 0 and D.matches(spark, empty(spark), bench).count() == 0
 
 
+def test_leaks_in_a_large_index():
+    rng = np.random.default_rng(9)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)[rng.integers(0, 26, (24_000, 230))]
+    items = [(k, row.tobytes().decode()) for k, row in enumerate(letters)]
+    index = D.SegmentIndex(items)
+    assert len(index.codes) > 70_000
+    for k in (5, 10_000, 11_000, 16_000, 23_999):  # segments on both sides of 32,768 and 65,536
+        text = prose(k, 30) + " " + items[k][1] + " " + prose(k + 1, 30)
+        assert {item for _, item, *_ in D._found(index, [text])} == {k}
+
+
 def test_banded_alignment():
     def brute(want, region):
         cost = [[0] * (len(region) + 1)]
