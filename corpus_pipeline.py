@@ -22,9 +22,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines; those of which nothing is left go. n_chars follows the text."""
+    """Documents without repeated chunks of lines; exact copies and others of which nothing is left go. n_chars follows
+    the text."""
     # written first: a filter on the new text would be pushed down and compute the chunks anew, many times over
-    out = Scratch(spark, "deduped").write(line_chunks.dedup_lines(spark, docs), "lines")
+    out = Scratch(spark, "deduped").write(line_chunks.dedup_lines(spark, docs, whole=True), "lines")
     left = out.where("n_removed = 0 OR trim(text) <> ''")
     changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(docs.columns)

@@ -24,6 +24,8 @@ WINDOW = 2
 TARGET = 3
 MIN_LINES = 2
 _BASE = 31
+#: Position that stands for all chunks of a text.
+WHOLE = -1
 
 
 def with_chunks(docs: DataFrame, window: int = WINDOW, target: int = TARGET) -> DataFrame:
@@ -46,12 +48,11 @@ def occurrences(docs: DataFrame, window: int = WINDOW, target: int = TARGET, min
     return parts.where(F.instr("chunk", "\n") > 0).where(solid).withColumn("chunk_hash", F.xxhash64("chunk"))
 
 
-def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, text_hash, removed (array of chunk positions): the occurrences to remove, exact by bytes."""
-    found = occurrences(docs)
+def _later(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """doc_id, text_hash, pos of every chunk that is not the first of its bytes."""
     place = F.struct("doc_id", "text_hash", "pos")
     grouped = found.groupBy("chunk_hash").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    groups = scratch.write(grouped.where("n > 1").select("chunk_hash", "first", (F.col("low") == F.col("high")).alias("same")), "groups")
+    groups = scratch.write(grouped.where("n > 1").select("chunk_hash", "first", (F.col("low") == F.col("high")).alias("same")), name)
     equal = groups.where("same").select("chunk_hash", "first")
     gone = found.select("doc_id", "text_hash", "pos", "chunk_hash").join(equal.hint("merge"), "chunk_hash").where(~place.eqNullSafe(F.col("first")))
     gone = gone.select("doc_id", "text_hash", "pos")
@@ -60,22 +61,42 @@ def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame
         split = clash.groupBy("chunk_hash", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
         more = clash.join(split, ["chunk_hash", "chunk"]).where(~place.eqNullSafe(F.col("first")))
         gone = gone.unionByName(more.select("doc_id", "text_hash", "pos"))
+    return gone
+
+
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """The columns of ``occurrences``, each text of several lines as one chunk at position WHOLE."""
+    several = docs.where("instr(text, '\n') > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return several.select("doc_id", "text_hash", F.lit(WHOLE).alias("pos"), F.col("text").alias("chunk"), F.col("text_hash").alias("chunk_hash"))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
+    """doc_id, text_hash, removed (array of chunk positions): the occurrences to remove, exact by bytes.
+
+    With ``whole``, WHOLE is among the positions of each text that an earlier document holds byte for byte.
+    """
+    gone = _later(occurrences(docs), scratch, "groups")
+    if whole:  # written: the shuffle files of the texts go before those of the chunks come
+        gone = gone.unionByName(scratch.write(_later(whole_texts(docs), scratch, "texts"), "copies"))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("removed"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, whole: bool = False) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``, and columns n_chunks and n_removed (int).
 
     Null and one-line texts stay as they are (n_chunks 0 for null). Rows that repeat a doc_id and text count as one
     document. A document of which nothing is left has the empty text. Columns of other names pass through; names
-    that begin with an underscore and ``n_chunks`` or ``n_removed`` are replaced.
+    that begin with an underscore and ``n_chunks`` or ``n_removed`` are replaced. With ``whole``, texts of several lines
+    that an earlier document holds byte for byte lose all chunks, also those that alone would not count.
     """
     docs = docs.drop("n_chunks", "n_removed", "_removed", "_id", "_hash")
     scratch = Scratch(spark, "lines")
-    gone = scratch.write(repeats(spark, docs, scratch), "gone").toDF("_id", "_hash", "_removed")
+    gone = scratch.write(repeats(spark, docs, scratch, whole), "gone").toDF("_id", "_hash", "_removed")
     keyed = docs.withColumn("_hash0", F.xxhash64("text"))
     joined = keyed.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash0") == F.col("_hash")), "left")
     cut = with_chunks(joined)
-    kept = F.expr("array_join(filter(_chunks, (c, k) -> NOT array_contains(_removed, k)), '\n')")
+    copied = F.coalesce(F.array_contains("_removed", WHOLE), F.lit(False))
+    kept = F.when(copied, "").otherwise(F.expr("array_join(filter(_chunks, (c, k) -> NOT array_contains(_removed, k)), '\n')"))
+    n_removed = F.when(copied, F.size("_chunks")).otherwise(F.coalesce(F.size("_removed"), F.lit(0)))
     out = [F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return cut.select(*out, F.coalesce(F.size("_chunks"), F.lit(0)).alias("n_chunks"), F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"))
+    return cut.select(*out, F.coalesce(F.size("_chunks"), F.lit(0)).alias("n_chunks"), n_removed.alias("n_removed"))
