@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import text_runs
-from .bpe_codec import MEMO_ENTRIES, RANKS, TOKENIZER, WordCodec, load_ranks
+from .bpe_codec import _COMMON, MEMO_ENTRIES, RANKS, TOKENIZER, WordCodec, load_ranks
 
 _CONTRACTIONS = {"'re", "'ve", "'ll"}
 
 
 class PrefixCounter:
-    """Exact token counts at every byte prefix of a text."""
+    """Exact token counts of every prefix of whole characters of a text."""
 
     def __init__(self, tokenizer_path: str, ranks_path: str):
         self.codec = WordCodec(tokenizer_path, ranks_path)
@@ -38,6 +38,7 @@ class PrefixCounter:
         self.single = self.codec.merges._core_bpe.encode_single_piece
         self.joins: dict[int, bool] = {}
         self.memo: dict = {}
+        self.classes = _Classes(self.codec)
 
     def _follows(self, last: int, token: int) -> bool:
         key = last << 32 | token
@@ -79,32 +80,58 @@ class PrefixCounter:
             out[word] = change.tobytes()
         return out
 
-    def _changes(self, words: list[str], table: dict[bytes, bytes]) -> bytes:
-        """Joined changes of consecutive pre-tokens, corrected where a cut text has other pre-tokens."""
-        parts = []
+    def _words(self, text: str) -> tuple[list[str], list[bool]]:
+        """Pre-tokens of a text, and whether each is white space.
+
+        Characters on whose class the libraries' Unicode versions may differ stand as one of the class that the
+        tokenizer itself gives them; the pattern is run on the text so changed.
+        """
+        if _COMMON.fullmatch(text):
+            words = self.words.findall(text)
+            return words, [w.isspace() for w in words]
+        alike = text.translate(self.classes)
+        spans = [m.span() for m in self.words.finditer(alike)]
+        return [text[a:b] for a, b in spans], [alike[a:b].isspace() for a, b in spans]
+
+    def _changes(self, words: list[str], blank: list[bool], table: dict[bytes, bytes]) -> bytes:
+        """Joined changes of consecutive pre-tokens, corrected where a cut text has other pre-tokens.
+
+        A contraction is none before it is whole. A run of white space is one pre-token when the text ends with it;
+        before other text its last character stands alone or with that text. ``owed`` is what the count of the run
+        differs from the sum of the two, due when the text goes on.
+        """
+        parts, owed = [], 0
         for k, w in enumerate(words):
             change = table[w.encode()]
-            if w in _CONTRACTIONS:
-                change = np.array([1, 1, sum(np.frombuffer(change, "<i2")) - 2], "<i2").tobytes()
-            elif k and w[0] == " " and len(w) > 1 and words[k - 1].isspace():
-                run = words[k - 1] + " "  # the text cut after this space ends in one longer run
-                of_run, of_word = (np.frombuffer(self.tables([x.encode()])[x.encode()], "<i2") for x in (run, w))
-                fixed = of_word.copy()
-                fixed[0] = of_run.sum() - np.frombuffer(table[words[k - 1].encode()], "<i2").sum()
-                fixed[1] += of_word[0] - fixed[0]
+            run = k > 0 and blank[k - 1] and (blank[k] or w[0] == " ")
+            if w in _CONTRACTIONS or run or owed:
+                fixed = np.frombuffer(change, "<i2").copy()
+                if w in _CONTRACTIONS:
+                    fixed[:] = 1, 1, fixed.sum() - 2
+                fixed[0] += owed
+                owed = 0
+                if run:
+                    size = len(w[0].encode())
+                    whole = (words[k - 1] + w[0]).encode()
+                    added = int(np.frombuffer(self.tables([whole])[whole], "<i2").sum() - np.frombuffer(table[words[k - 1].encode()], "<i2").sum())
+                    owed = int(fixed[:size].sum()) - added
+                    fixed[size - 1] -= owed
+                    if size < len(fixed):
+                        fixed[size] += owed
+                        owed = 0
                 change = fixed.tobytes()
             parts.append(change)
         return b"".join(parts)
 
     def _fill(self, keys: list, texts: list[str]) -> None:
-        cut = [self.words.findall(t) if not t[1:].isalpha() else [t] for t in texts]
-        table = self.tables(list({w.encode() for c in cut for w in c}))
+        cut = [self._words(t) if not (t.isascii() and (t[0] == " " or t[0].isalpha()) and t[1:].isalpha()) else ([t], [False]) for t in texts]
+        table = self.tables(list({w.encode() for words, _ in cut for w in words}))
         memo, special = self.memo, _CONTRACTIONS
-        for key, words in zip(keys, cut):
+        for key, (words, blank) in zip(keys, cut):
             if len(words) == 1 and words[0] not in special:
                 memo[key] = table[words[0].encode()]
             else:
-                memo[key] = self._changes(words, table)
+                memo[key] = self._changes(words, blank, table)
 
     def changes(self, texts: list[str | None]) -> list[bytes]:
         """Changes of the token count at every byte (little-endian int16) of each whole text; null counts as empty."""
@@ -129,19 +156,45 @@ class PrefixCounter:
                 out.append(self._general(text))
         return out
 
+    def _ordinary(self, text: str) -> bytes:
+        words, blank = self._words(text)
+        return self._changes(words, blank, self.tables(list({w.encode() for w in words})))
+
     def _general(self, text: str) -> bytes:
-        """Texts with special tokens or longer runs of white space. A special token counts at its last byte."""
+        """Texts with special tokens or longer runs of white space.
+
+        Before its last byte a special token is ordinary text that may share pre-tokens with what stands before it;
+        with that byte the text before counts as if it ended there, and the token as one.
+        """
         special = "|".join(map(regex.escape, self.codec.specials))
+        runs = regex.split(f"({special})", text) if special else [text]
         parts = []
-        for run in regex.split(f"({special})", text) if special else [text]:
-            if run in self.codec.specials:
-                parts.append(np.array([0] * (len(run.encode()) - 1) + [1], "<i2").tobytes())
-            elif run:
-                words = self.words.findall(run)
-                parts.append(self._changes(words, self.tables(list({w.encode() for w in words}))))
+        for k in range(0, len(runs), 2):
+            before = len(runs[k].encode())
+            token = runs[k + 1] if k + 1 < len(runs) else ""
+            change = self._ordinary(runs[k] + token[:-1])
+            parts.append(change)
+            if token:
+                parts.append(np.array([1 - np.frombuffer(change, "<i2")[before:].sum(dtype=np.int64)], "<i2").tobytes())
         return b"".join(parts)
 
 
+class _Classes(dict):
+    """Character -> itself, or one of its class (letter, number, white space, other) as the tokenizer sees it."""
+
+    def __init__(self, codec: WordCodec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if not _COMMON.fullmatch(c):
+            cut = self.codec.library.pre_tokenizer.pre_tokenize_str
+            c = next((own for own in ("é", "1", "!") if len(cut(own + c)) == 1), "\t")
+        self[code] = c
+        return c
+
+
 _COUNTERS: dict[tuple[str, str], PrefixCounter] = {}
 
 
@@ -155,8 +208,9 @@ def counter(tokenizer_path: str, ranks_path: str) -> PrefixCounter:
 def prefix_counts(docs: DataFrame, tokenizer_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, prefix_changes (binary int16 a byte: change of the token count).
 
-    The running sum of ``prefix_changes`` up to byte i is the exact token count of the first i bytes, so
-    ``fit_bytes`` and ``count_at`` answer budget questions from this table alone. A null text counts as empty.
+    The running sum of ``prefix_changes`` up to byte i is the exact token count of the first i bytes where these are
+    whole characters, so ``fit_bytes`` and ``count_at`` answer budget questions from this table alone. A null text
+    counts as empty.
     """
     return _counted(docs, tokenizer_path, ranks_path, None)
 

@@ -1,6 +1,7 @@
 """Tokens: every result against the tokenizers library."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -58,16 +59,31 @@ def test_merge_matches_textbook(codec):
         assert B.merge_ids(word.encode(), ranks) == encode(word)
 
 
+AWKWARD = list("ab .\n\t\r'sd1é½日\u3000\xa0\x1c\x85!-") + [" ", " ", "\n", "'s", "'re", "'ll", "'ve", "'stion", "re", "  ", "\n\n", "<|endoftext|>", "<|endof", "text|>", " the", "ing", "😀", "\u180e", "\u200b", "\U0001e5d0"]
+
+
 def test_every_prefix():
     own = C.counter(P.path(B.TOKENIZER), P.path(B.RANKS))
-    for text in ("they're we'll I've it's", "a   b \n\n c", documents()[0][1][:300], "Ünïcode ½² naïve text"):
-        change = own.changes([text])[0]
+    r = random.Random(17)
+    texts = ["they're we'll I've it's", "a   b \n\n c", documents()[0][1][:300], "Ünïcode ½² naïve text", "'stion", "'re", " \n\naa", "a!!<|endoftext|>  <|endoftext|>'s", "\u3000\u3000x", " \xa0\xa0're"]
+    texts += ["".join(r.choice(AWKWARD) for _ in range(r.randint(1, 14))) for _ in range(1500)]
+    for text, change in zip(texts, own.changes(texts)):
+        assert len(change) == 2 * len(text.encode())
         for i in range(len(text) + 1):
-            assert C.count_at(change, len(text[:i].encode())) == len(encode(text[:i])), text[:i]
+            assert C.count_at(change, len(text[:i].encode())) == len(encode(text[:i])), (text, text[:i])
         fit = C.fit_bytes(change, text.encode(), 5)
         assert len(encode(text.encode()[:fit].decode())) <= 5
 
 
+def test_every_character():
+    """Totals around each code point of the planes in use, whatever Unicode version each library has."""
+    own = C.counter(P.path(B.TOKENIZER), P.path(B.RANKS))
+    codes = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}1{chr(c)}{chr(c)}! {chr(c)}b" for c in codes[k : k + 64]) for k in range(0, len(codes), 64)]
+    for text, change in zip(texts, own.changes(texts)):
+        assert C.count_at(change, len(change)) == len(encode(text)), text
+
+
 def test_counts(spark):
     importable(spark)
     rows = C.token_budget(frame(spark), 512).collect()
