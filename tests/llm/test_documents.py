@@ -1,6 +1,7 @@
 """Quality, sharding, language, lines, leaks: brute force, laws and held-out accuracy on small tables."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -140,8 +141,8 @@ def test_leaks(spark):
     docs = spark.createDataFrame([(k, t, "a", "s", 1, 0.0) for k, t in enumerate(texts)], SCHEMA)
     for block in (D.BLOCK_CHARS, 300):
         got = {(r.doc_id, r.item_id) for r in D.matches(spark, docs, bench, block).collect()}
-        assert got == {(0, 0), (1, 1), (2, 2), (7, 3)}
-        assert sorted(r.doc_id for r in D.keep_clean(spark, docs, bench, block).collect()) == [3, 4, 5, 6, 8]
+        assert got == {(0, 0), (1, 1), (2, 2), (7, 3), (8, 7)}  # every item counts, however short
+        assert sorted(r.doc_id for r in D.keep_clean(spark, docs, bench, block).collect()) == [3, 4, 5, 6]
     assert D.matches(spark, docs, bench.limit(0)).count() == 0 and D.matches(spark, empty(spark), bench).count() == 0
 
 
@@ -156,6 +157,56 @@ def test_leaks_in_a_large_index():
         assert {item for _, item, *_ in D._found(index, [text])} == {k}
 
 
+def brute_leak(text, item):
+    """Whether any segment of an item occurs within its budget, by the whole alignment table of each segment."""
+    want, whole = D.normalise(item)[0], D.normalise(text)[0]
+    want = want[: len(want) - (len(want) > 0 and want[-1] == 32)]
+    if len(want) < 10:
+        return len(want) > 0 and f" {item_text(want)} " in f" {item_text(whole).rstrip()} "
+    last = max(0, len(want) - D.SEGMENT)
+    for begin in {*range(0, last, D.SEGMENT // 2), last}:
+        piece = want[begin : begin + D.SEGMENT]
+        cost, ramp = np.zeros(len(whole) + 1, np.int64), np.arange(len(whole) + 1)
+        for i, c in enumerate(piece, 1):
+            step = np.concatenate(([i], np.minimum(cost[:-1] + (whole != c), cost[1:] + 1)))
+            cost = np.minimum.accumulate(step - ramp) + ramp
+        if cost.min() <= len(piece) // 10:
+            return True
+    return False
+
+
+def item_text(codes):
+    return codes.astype("<u4").tobytes().decode("utf-32-le")
+
+
+@pytest.mark.parametrize("hits", [D.HITS, 50])
+def test_leaks_of_every_length(monkeypatch, hits):
+    monkeypatch.setattr(D, "HITS", hits)
+    r = random.Random(hits)
+    items = [(k, "".join(r.choice("abcdefgh .") for _ in range(1 + k % 200))) for k in range(600)]
+    index, texts = D.SegmentIndex(items), []
+    for k, item in items:
+        edited = list(item)
+        for _ in range(r.choice((0, len(item) // 20, len(item) // 10, len(item) // 10, len(item) // 10 + 1))):
+            at = r.randrange(len(edited) + 1)
+            edited[at : at + r.randint(0, 1)] = r.choice(("", "z", "q", "a"))
+        before, after = ("".join(r.choice("abcdefgh .") for _ in range(r.randint(0, 300))) for _ in range(2))
+        texts.append(before + r.choice((" ", "")) + "".join(edited) + r.choice((" ", "")) + after)
+    found = {(row, item) for row, item, *_ in D._found(index, texts)}
+    for k, item in items:
+        assert ((k, k) in found) == brute_leak(texts[k], item), (item, texts[k])
+    others = [(r.randrange(600), r.randrange(600)) for _ in range(2000)]
+    for row, k in others:
+        assert ((row, k) in found) == brute_leak(texts[row], items[k][1])
+
+
+def test_leaks_in_one_very_long_text(monkeypatch):
+    monkeypatch.setattr(D, "HITS", 5000)
+    items = [(k, prose(500 + k, 45)) for k in range(4)] + [(9, "ba ba ba ba ba ba ba ba")]
+    text = prose(1, 8000) + " " + items[2][1] + " " + "ba " * 20_000 + prose(3, 8000) + items[3][1]
+    assert {(item) for _, item, *_ in D._found(D.SegmentIndex(items), [text])} == {2, 3, 9}
+
+
 def test_banded_alignment():
     def brute(want, region):
         cost = [[0] * (len(region) + 1)]
