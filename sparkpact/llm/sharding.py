@@ -1,57 +1,63 @@
 """Sharding by fixed virtual slots.
 
-Records hash into VIRTUAL_SLOTS slots by their text, so equal texts share a slot. Bytes are summed by slot, and a
-slot-to-shard map is kept as a versioned table: version 1 deals the slots out in turn, and each rebalancing reads
-the newest version, moves whole slots from loaded to light shards, and writes the next one. Rows never move but
-with their slot.
-
-A slot that alone outweighs HOT_SHARE of a shard (one text may be a third of all rows) is dealt over SUB_SLOTS
-further slots by doc_id; that table of hot slots is part of the map. All work on rows is DataFrame operations; only
-tables of a row a slot, whose number is fixed, reach the driver.
+Records hash into VIRTUAL_SLOTS slots by doc_id and text. Rows that agree in both also take their place in the input,
+so neither a text nor a row that a third of all rows repeat can weigh a slot down. Bytes are summed by slot. A
+slot-to-shard map is kept as a versioned table under a directory: version 1 deals the slots out in turn, and each
+rebalancing reads the newest version, moves whole slots from loaded to light shards, and writes the next one where
+anything moved. Versions are never overwritten. Rows never move but with their slot.
+
+All work on rows is DataFrame operations; only tables of a row a slot, whose number is fixed, reach the driver.
 """
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import Scratch
 
 VIRTUAL_SLOTS = 4096
-SUB_SLOTS = 64
-HOT_SHARE = 0.5
 TOLERANCE = 0.001
-RANK_BLOCKS = 256
 
 
-def records(docs: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, base (slot by text), sub (sub-slot by doc_id). A null text counts as empty."""
+def records(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, key (hash of doc_id and text), place (in the input). A null text counts as empty."""
     raw = F.coalesce("text", F.lit(""))
     return docs.select(
-        F.col("doc_id").cast("long"),
+        F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(raw), F.lit(slots)).cast("int").alias("base"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(SUB_SLOTS)).cast("int").alias("sub"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(RANK_BLOCKS)).cast("int").alias("block"),
+        F.xxhash64(F.col("doc_id").cast("long"), raw).alias("key"),
+        F.monotonically_increasing_id().alias("place"),
     )
 
 
+def with_slots(rows: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
+    """``rows`` with their virtual slot: by key, and by place too where the key is repeated."""
+    again = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("again"))
+    met = rows.join(again.hint("merge"), "key", "left")
+    own = F.when(F.col("again"), F.xxhash64("key", "place")).otherwise(F.xxhash64("key"))
+    return met.select("doc_id", "size", "text_crc32", F.pmod(own, F.lit(slots)).cast("int").alias("virtual_slot"))
+
+
 def slot_bytes(rows: DataFrame) -> DataFrame:
-    """base, sub, bytes, n: sums by slot and sub-slot, combined in each task before the shuffle."""
-    return rows.groupBy("base", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    """virtual_slot, bytes, n: sums by slot, combined in each task before the shuffle."""
+    return rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
 
 
-def initial_map(loads: list[int], shards: int) -> list[int]:
-    return [s % shards for s in range(len(loads))]
+def initial_map(slots: int, shards: int) -> list[int]:
+    return [s % shards for s in range(slots)]
 
 
 def rebalance(slot_map: list[int], loads: list[int], shards: int, tolerance: float = TOLERANCE) -> list[int]:
     """Edit a map: move or swap whole slots until every shard is within ``tolerance`` of the mean, or none helps.
 
-    Slots that need not move keep their shard. Deterministic: ties go to the smaller number.
+    Slots that need not move keep their shard; those of shards that are no more are dealt out in turn. Deterministic:
+    ties go to the smaller number.
     """
-    edited, held, sums = list(slot_map), [set() for _ in range(shards)], [0] * shards
+    edited, held, sums = [s if s < shards else k % shards for k, s in enumerate(slot_map)], [set() for _ in range(shards)], [0] * shards
     for slot, shard in enumerate(edited):
         held[shard].add(slot)
         sums[shard] += loads[slot]
@@ -84,68 +90,75 @@ def rebalance(slot_map: list[int], loads: list[int], shards: int, tolerance: flo
 
 
 def _nearest(light: list[tuple[int, int]], want: float):
-    import bisect
-
     at = bisect.bisect_left(light, (want, -1))
     near = [light[k] for k in (at - 1, at) if 0 <= k < len(light)]
     return min(near, key=lambda x: (abs(x[0] - want), x[1]))[1] if near else None
 
 
 class SlotMap:
-    """Versions of the slot-to-shard map as Parquet tables ``version=N`` under one directory."""
+    """Versions of the slot-to-shard map as Parquet tables ``version=N`` under one directory, numbered from 1."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base
 
-    def write(self, version: int, entries: list[tuple[int, int]], shards: int) -> DataFrame:
-        """entries: (slot key, shard), one for each slot in use."""
-        listed = ",".join(f"{k}:{s}" for k, s in entries)
-        rows = self.spark.range(1).select(F.explode(F.split(F.lit(listed), ",")).alias("e")).where("e <> ''")
-        parts = F.split("e", ":")
-        out = rows.select(parts[0].cast("int").alias("slot_key"), parts[1].cast("int").alias("shard"), F.lit(shards).alias("shards"))
-        out.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/version={version}")
-        return self.read(version)
-
-    def read(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/version={version}")
-
-
-def assign(spark: SparkSession, docs: DataFrame, shards: int = 8, slots: int = VIRTUAL_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, shard, slot, map_version of every row.
-
-    ``slot`` numbers the rows of a shard from 0 without gaps; ``virtual_slot`` is the row's key in the map. Null
-    doc_ids and repeated rows are placed like any others. An empty table gives an empty result.
+    def newest(self) -> int:
+        """0 where there is none."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.base)
+        store = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+        whole = [n for n in names if n.startswith("version=") and store.exists(jvm.org.apache.hadoop.fs.Path(f"{self.base}/{n}/_SUCCESS"))]
+        return max((int(n[8:]) for n in whole), default=0)
+
+    def write(self, version: int, shard_of: list[int]) -> None:
+        listed = ",".join(map(str, shard_of))
+        rows = self.spark.range(1).select(F.posexplode(F.split(F.lit(listed), ",")).alias("virtual_slot", "shard"))
+        rows.select("virtual_slot", F.col("shard").cast("int")).coalesce(1).write.parquet(f"{self.base}/version={version}")
+
+    def read(self, version: int) -> list[int]:
+        rows = self.spark.read.schema("virtual_slot int, shard int").parquet(f"{self.base}/version={version}").collect()
+        return [r.shard for r in sorted(rows, key=lambda r: r.virtual_slot)]
+
+
+def edit_map(store: SlotMap, loads: list[int], shards: int, tolerance: float = TOLERANCE) -> tuple[int, list[int]]:
+    """(version, map) after rebalancing the newest version for the bytes of each slot; a map that fits is left alone."""
+    version = store.newest()
+    if not version:
+        store.write(version := 1, initial_map(len(loads), shards))
+    current = store.read(version)
+    if len(current) != len(loads):
+        raise ValueError(f"the map has {len(current)} slots, not {len(loads)}: their number is fixed")
+    edited = rebalance(current, loads, shards, tolerance)
+    if edited != current:
+        store.write(version := version + 1, edited)
+    return version, edited
+
+
+def assign(spark: SparkSession, docs: DataFrame, shards: int = 8, slots: int = VIRTUAL_SLOTS, map_dir: str | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version of every row.
+
+    ``slot`` numbers the rows of a shard from 0 without gaps; ``virtual_slot`` is the row's key in the map. ``map_dir``
+    (a URI) holds the map's versions; without one, the map is new. Null doc_ids, null texts and repeated rows are
+    placed like any others. An empty table gives an empty result. Other columns are not read.
     """
     scratch = Scratch(spark, "sharding")
-    rows = scratch.write(records(docs, slots), "rows")
-    per_slot = slot_bytes(rows).groupBy("base").agg(F.sum("bytes").alias("bytes"), F.collect_list(F.struct("sub", "bytes")).alias("subs")).collect()
-    total = sum(r.bytes for r in per_slot)
-    keys, loads = [], []
-    hot = []
-    for r in sorted(per_slot, key=lambda r: r.base):
-        if r.bytes > HOT_SHARE * total / shards:
-            hot.append(r.base)
-            for s in sorted(r.subs):
-                keys.append(slots + r.base * SUB_SLOTS + s.sub)
-                loads.append(s.bytes)
-        else:
-            keys.append(r.base)
-            loads.append(r.bytes)
-    store = SlotMap(spark, scratch.path("map"))
-    first = initial_map(loads, shards)
-    store.write(1, list(zip(keys, first)), shards)
-    current = store.write(2, list(zip(keys, rebalance(first, loads, shards))), shards)
-
-    is_hot = F.col("base").isin(hot) if hot else F.lit(False)
-    placed = rows.withColumn("slot_key", F.when(is_hot, slots + F.col("base") * SUB_SLOTS + F.col("sub")).otherwise(F.col("base")))
-    placed = placed.join(F.broadcast(current.select("slot_key", "shard")), "slot_key")  # one row a slot at most
-    # rank in blocks by doc_id, then add the rows of the shard's earlier blocks: no task sorts a whole shard
-    per_block = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
-    earlier = F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = per_block.select("shard", "block", F.coalesce(earlier, F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")) - 1
-    numbered = placed.withColumn("rank", within).join(F.broadcast(starts), ["shard", "block"])
+    rows = scratch.write(with_slots(scratch.write(records(docs), "rows"), slots), "slotted")
+    loads, counts = [0] * slots, [0] * slots
+    for r in slot_bytes(rows).collect():  # a row a slot
+        loads[r.virtual_slot], counts[r.virtual_slot] = r.bytes, r.n
+    version, shard_of = edit_map(SlotMap(spark, map_dir or scratch.path("map")), loads, shards, tolerance)
+    starts, filled = [], [0] * shards
+    for s, n in zip(shard_of, counts):
+        starts.append(filled[s])
+        filled[s] += n
+    listed = ",".join(f"{s}:{n}" for s, n in zip(shard_of, starts))
+    parts = F.split("e", ":")
+    places = spark.range(1).select(F.posexplode(F.split(F.lit(listed), ",")).alias("virtual_slot", "e"))
+    places = places.select("virtual_slot", parts[0].cast("int").alias("shard"), parts[1].cast("long").alias("start"))
+    # rank within a slot, then add the rows of the shard's earlier slots: no task sorts a whole shard
+    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
+    numbered = rows.withColumn("rank", within).join(F.broadcast(places), "virtual_slot")  # a row a slot
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") + F.col("start")).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), F.col("slot_key").alias("virtual_slot"), F.lit(2).alias("map_version"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"),
     )

@@ -49,32 +49,59 @@ def test_quality(spark):
     assert nothing.count() == 0 and Q.quality(spark, empty(spark), labels).count() == 0
 
 
+def loads_of(got, shards=8):
+    return [sum(r.size for r in got if r.shard == s) for s in range(shards)]
+
+
 def test_sharding_laws(spark):
     rows = [(k, "same text" if k % 3 == 0 else prose(k, 5 + k % 40), "a", "s", 1, 0.0) for k in range(1500)] + [r for r in documents() if len(r[1] or "") < 20_000]
     got = S.assign(spark, spark.createDataFrame(rows, SCHEMA), 8).collect()
     assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
-    loads = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    loads = loads_of(got)
     assert max(loads) - min(loads) < 0.2 * sum(loads) / 8  # one text is a third of the rows
     for s in range(8):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
     homes = {}
     for r in got:
-        homes.setdefault(r.text_crc32, set()).add(r.shard)
-    assert all(len(v) == 1 for v in homes.values())  # no text here outweighs half a shard
+        homes.setdefault(r.virtual_slot, set()).add(r.shard)
+    assert all(len(v) == 1 for v in homes.values())
     assert S.assign(spark, empty(spark)).count() == 0
 
 
-def test_hot_text_is_split(spark):
-    rows = [(k, "hot " * 20 if k % 3 else prose(k, 20), "a", "s", 1, 0.0) for k in range(3000)]
-    got = S.assign(spark, spark.createDataFrame(rows, SCHEMA), 8).collect()
-    loads = [sum(r.size for r in got if r.shard == s) for s in range(8)]
-    assert max(loads) < 1.1 * min(loads)
+@pytest.mark.parametrize("doc_id", [lambda k: k, lambda k: None, lambda k: 7])
+def test_hot_rows_are_split(spark, doc_id):
+    rows = [(doc_id(k), "hot " * 20 if k % 3 else prose(k, 20), "a", "s", 1, 0.0) for k in range(3000)]
+    got = S.assign(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), 8).collect()
+    loads = loads_of(got)
+    assert max(loads) < 1.1 * min(loads) and len(got) == 3000
+
+
+def test_map_versions(spark):
+    """A second run reads the newest version and leaves it alone; a ninth shard is an edit that moves about a ninth."""
+    docs = spark.createDataFrame([(k, prose(k, 5 + k % 40), "a", "s", 1, 0.0) for k in range(3000)], SCHEMA)
+    base = S.Scratch(spark, "test").path("map")
+    first = {r.doc_id: r for r in S.assign(spark, docs, 8, map_dir=base).collect()}
+    assert {r.map_version for r in first.values()} == {2}  # version 1 dealt the slots out in turn
+    again = {r.doc_id: r for r in S.assign(spark, docs, 8, map_dir=base).collect()}
+    assert {d: (r.shard, r.map_version) for d, r in again.items()} == {d: (r.shard, 2) for d, r in first.items()}
+    grown = {r.doc_id: r for r in S.assign(spark, docs, 9, map_dir=base).collect()}
+    loads = loads_of(grown.values(), 9)
+    assert {r.map_version for r in grown.values()} == {3} and max(loads) < 1.05 * min(loads)
+    moved = [d for d, r in grown.items() if r.shard != first[d].shard]
+    assert len(moved) < 3000 / 6 and sum(grown[d].shard == 8 for d in moved) > 0.8 * len(moved)
+    assert all(r.virtual_slot == first[d].virtual_slot for d, r in grown.items())
+    shrunk = S.assign(spark, docs, 8, map_dir=base).collect()
+    assert {r.map_version for r in shrunk} == {4} and max(r.shard for r in shrunk) == 7
+    store = S.SlotMap(spark, base)
+    assert store.newest() == 4 and store.read(1) == S.initial_map(S.VIRTUAL_SLOTS, 8)
+    with pytest.raises(ValueError):
+        S.assign(spark, docs, 8, slots=100, map_dir=base)
 
 
 def test_rebalance_moves_little():
     loads = [10] * 80
-    first = S.initial_map(loads, 8)
+    first = S.initial_map(80, 8)
     assert S.rebalance(first, loads, 8) == first
     heavy = [30 if k == 0 else 10 for k in range(80)]
     edited = S.rebalance(first, heavy, 8)
