@@ -91,32 +91,38 @@ class KernelModel:
         return (x @ self.landmarks.T) @ self.coefficients
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE) -> DataFrame:
-    """doc_id, lang, is_landmark: the bounded sample, the documents of each language with the smallest hash.
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """doc_id, lang, text: the bounded sample, the ``per_language`` documents of each language with the smallest hash.
 
-    Only documents of the training folds (crc32 of the doc_id text, modulo 4, not 2) with a language and a text.
-    The rank limit is applied in each task before the shuffle.
+    Only documents of the training folds (crc32 of the doc_id text, modulo 4, not 2) with a language and a text. Rows
+    that repeat a doc_id and language are one document; of several texts the smallest hash stands for it. Repeats are
+    combined in each task before the shuffle, and the rank limit is applied before the sample is sent on.
     """
-    h = F.xxhash64("doc_id")
-    ids = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    ranked = ids.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id")).alias("rank"))
-    return ranked.where(F.col("rank") <= per_language).select("doc_id", "lang", (F.col("rank") <= landmarks).alias("is_landmark"))
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("th"), "text")
+    ids = rows.groupBy("lang", "doc_id").agg(F.min("th").alias("th"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sample = ids.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    met = rows.join(F.broadcast(sample), ["lang", "doc_id", "th"], "left_semi")
+    return met.dropDuplicates(["lang", "doc_id"]).select("doc_id", "lang", "text")
 
 
-def fit(docs: DataFrame, dimensions: int = DIMENSIONS) -> KernelModel:
-    """Presence sets are made on the executors; the driver gets at most PER_LANGUAGE sets of a language."""
-    sample = F.broadcast(training_rows(docs).withColumnRenamed("lang", "label"))
-    chosen = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", "is_landmark", "text")
+def fit(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE) -> KernelModel:
+    """Presence sets are made on the executors; the driver gets at most ``per_language`` sets of a language. The first
+    ``landmarks`` of them that have letters are landmarks; a language without letters is not learned."""
 
     def features(batches):
         for batch in batches:
-            rows = [presence(t, dimensions) for t in batch.column(3).to_pylist()]
+            rows = [presence(t, dimensions) for t in batch.column(2).to_pylist()]
             packed = [None if r is None else r.astype("<u2").tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "label", "is_landmark", "grams"])
-
-    rows = chosen.mapInArrow(features, "doc_id long, label string, is_landmark boolean, grams binary").collect()
-    rows = sorted((r.label, r.doc_id, r.is_landmark, bytes(r.grams)) for r in rows if r.grams)
-    return KernelModel.fit([np.frombuffer(r[3], "<u2").astype(np.int64) for r in rows], [r[0] for r in rows], [r[2] for r in rows], dimensions)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "lang", "grams"])
+
+    rows = training_rows(docs, per_language).mapInArrow(features, "doc_id long, lang string, grams binary").where("grams IS NOT NULL")
+    order = rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "grams").collect()
+    order = sorted((r.lang, r.h, r.doc_id, bytes(r.grams)) for r in order)
+    langs = [r[0] for r in order]
+    first = {lang: k for k, lang in reversed(list(enumerate(langs)))}
+    return KernelModel.fit([np.frombuffer(r[3], "<u2").astype(np.int64) for r in order], langs, [k - first[lang] < landmarks for k, lang in enumerate(langs)], dimensions)
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: KernelModel) -> DataFrame:
