@@ -75,6 +75,14 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(columns: list[str], stem: str) -> str:
+    """A column name that is not among ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def text_runs(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """Yield (start, texts) slices of a batch holding about ``limit`` bytes of text each (one row at least)."""
     texts = batch.column(batch.schema.get_field_index(column)).to_pylist()

@@ -85,18 +85,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, whole: bool = False) -> Da
     """``docs`` with repeated chunks taken out of ``text``, and columns n_chunks and n_removed (int).
 
     Null and one-line texts stay as they are (n_chunks 0 for null). Rows that repeat a doc_id and text count as one
-    document. A document of which nothing is left has the empty text. Columns of other names pass through; names
-    that begin with an underscore and ``n_chunks`` or ``n_removed`` are replaced. With ``whole``, texts of several lines
-    that an earlier document holds byte for byte lose all chunks, also those that alone would not count.
+    document. A document of which nothing is left has the empty text. Other columns pass through, whatever their
+    names; only ``n_chunks`` and ``n_removed`` are replaced. With ``whole``, texts of several lines that an earlier
+    document holds byte for byte lose all chunks, also those that alone would not count. An empty table gives an empty
+    result.
     """
-    docs = docs.drop("n_chunks", "n_removed", "_removed", "_id", "_hash")
+    names = [c for c in docs.columns if c.lower() not in ("n_chunks", "n_removed")]
     scratch = Scratch(spark, "lines")
     gone = scratch.write(repeats(spark, docs, scratch, whole), "gone").toDF("_id", "_hash", "_removed")
-    keyed = docs.withColumn("_hash0", F.xxhash64("text"))
-    joined = keyed.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash0") == F.col("_hash")), "left")
+    # the input's other columns travel in one struct, so no name of theirs meets one of ours
+    others = F.struct(*(F.col(f"`{c}`") for c in names if c.lower() != "text"), F.lit(0)).alias("_row")
+    keyed = docs.select(others, F.col("text").alias("text"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64("text").alias("_hash0"))
+    joined = keyed.join(gone.hint("merge"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash0") == F.col("_hash")), "left")
     cut = with_chunks(joined)
     copied = F.coalesce(F.array_contains("_removed", WHOLE), F.lit(False))
     kept = F.when(copied, "").otherwise(F.expr("array_join(filter(_chunks, (c, k) -> NOT array_contains(_removed, k)), '\n')"))
     n_removed = F.when(copied, F.size("_chunks")).otherwise(F.coalesce(F.size("_removed"), F.lit(0)))
-    out = [F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
+    out = [text.alias(c) if c.lower() == "text" else F.col("_row").getField(c).alias(c) for c in names]
     return cut.select(*out, F.coalesce(F.size("_chunks"), F.lit(0)).alias("n_chunks"), n_removed.alias("n_removed"))
