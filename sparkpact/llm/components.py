@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ._common import Scratch
 
 
-def _smallest(pairs: DataFrame, strict: bool) -> DataFrame:
-    """u, v -> each v with the smallest node around u (u itself included)."""
+def _smallest(pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """u, v -> each pair with the smallest node around u (u itself included).
+
+    The smallest nodes are written: a join of two tables that both are read and dealt for it is one that Spark splits
+    where a hub has many pairs, while an aggregate that stands right below the join keeps it from that.
+    """
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return pairs.join(least.hint("merge"), "u")
+    return pairs.join(scratch.write(least, name).hint("merge"), "u")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int = 60) -> DataFrame:
@@ -24,7 +28,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int =
     before = None
     for i in range(max_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _smallest(both, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _smallest(both, scratch, f"{name}-least").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low.hint("merge"), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()

@@ -8,7 +8,7 @@
    the largest overlap that they allow. Leaves compare exact bitmaps over the block's shared tokens. Only links that
    join two parts are put out, never all pairs, and parts that are joined are not compared again.
 4. Pairs across clusters: two sets that link share a token of their prefixes (rarest tokens first, by counts in a
-   bounded sample, which decides the order alone). Tokens whose prefixes lie in more than one cluster send their
+   sample, which decides the order alone). Tokens whose prefixes lie in more than one cluster send their
    members to the same tree join, on bitmaps of the whole sets; the pairs it can't exclude are compared exactly.
 5. Links give components.
 
@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, by_group, text_runs
+from ._common import Scratch, by_group, free_name, text_runs
 from .components import components
 from .repeat_spans import _among, _marked
 
 BINS, ROWS = 128, 8
-SAMPLE_DOCS = 8_000
+SAMPLE_ONE_IN = 32
 HEAVY_COUNT = 4
-HEAVY_TOKENS = 300_000
+HEAVY_TOKENS = 1_000_000
 BLOCK = 1024
 VOCABULARY = 1 << 18
 LEAF = 8
@@ -269,9 +269,25 @@ def possible_pairs(docs, sizes, raw, groups, left, percent: int, homes=None) ->
 
 # ---------------------------------------------------------------- Spark
 
+class _Seen:
+    """Rows that a task has met lately, so that one that a third of all rows repeat is sent once a task."""
+
+    def __init__(self, limit: int = 100_000):
+        self.limit, self.keys = limit, set()
+
+    def new(self, key) -> bool:
+        if key in self.keys:
+            return False
+        if len(self.keys) >= self.limit:
+            self.keys.clear()
+        self.keys.add(key)
+        return True
+
+
 def _heavy(docs: DataFrame, n: int, scratch: Scratch) -> np.ndarray:
-    """Tokens that HEAVY_COUNT or more of a bounded sample hold (HEAVY_TOKENS of them at most), with counts."""
-    sample = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    """The most frequent tokens with their counts, HEAVY_TOKENS of them at most, that HEAVY_COUNT or more hold of one
+    document in SAMPLE_ONE_IN by hash: the sample grows with the corpus, the list has a fixed bound."""
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_ONE_IN)) == 0)
 
     def tokens(batches):
         own = Shingler(n)
@@ -280,7 +296,7 @@ def _heavy(docs: DataFrame, n: int, scratch: Scratch) -> np.ndarray:
                 for s in own.sets(texts):
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["token"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi").select("text").mapInArrow(tokens, "token long")
+    rows = sample.select("text").mapInArrow(tokens, "token long")
     top = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY_COUNT).orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS)
     often = scratch.write(top, "heavy").toPandas()  # written first: the driver gets the limit's rows only
     out = np.zeros(len(often), np.dtype([("token", "<u8"), ("n", "<i8")]))
@@ -289,22 +305,26 @@ def _heavy(docs: DataFrame, n: int, scratch: Scratch) -> np.ndarray:
 
 
 def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (128-bit digest of the set), bands, tokens (prefix), bits (bitmap)."""
+    """doc_id, n_shingles, d1, d2 (128-bit digest of the set), bands, tokens (prefix), bits (bitmap).
+
+    The last three are null for empty sets, and for rows that repeat a doc_id and set that the task has met.
+    """
     shared = spark.sparkContext.broadcast(heavy)
 
     def run(batches):
-        own = Shingler(n)
+        own, seen = Shingler(n), _Seen()
         for batch in batches:
             doc_ids = batch.column(0)
+            ids = doc_ids.to_pylist()
             for start, texts in text_runs(batch, "text"):
                 sets = own.sets(texts)
-                full = [len(s) > 0 for s in sets]
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+                full = [len(s) > 0 and seen.new((ids[start + k], *d)) for k, (s, d) in enumerate(zip(sets, digest.tolist()))]
                 yield pa.RecordBatch.from_arrays([
                     doc_ids.slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                    pa.array([bands(s) if f else [] for s, f in zip(sets, full)], pa.list_(pa.int64())),
-                    pa.array([prefix(s, shared.value, percent).view(np.int64) if f else [] for s, f in zip(sets, full)], pa.list_(pa.int64())),
-                    pa.array([bitmap(s) if f else b"" for s, f in zip(sets, full)], pa.binary()),
+                    pa.array([bands(s) if f else None for s, f in zip(sets, full)], pa.list_(pa.int64())),
+                    pa.array([prefix(s, shared.value, percent).view(np.int64) if f else None for s, f in zip(sets, full)], pa.list_(pa.int64())),
+                    pa.array([bitmap(s) if f else None for s, f in zip(sets, full)], pa.binary()),
                 ], ["doc_id", "n_shingles", "d1", "d2", "bands", "tokens", "bits"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, tokens array<long>, bits binary")
@@ -313,7 +333,8 @@ def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int, heavy
 def _sets(spark: SparkSession, docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     """doc_id, grams (binary uint64) of the documents in ``wanted``; others are mostly left out before the shuffle.
 
-    The filter is one bit array of fixed size, whatever the number of documents; the join decides.
+    The filter is one bit array of fixed size, whatever the number of documents; the join decides. Rows that repeat a
+    doc_id and set come once a task, those that repeat a doc_id with another set are rows of their own.
     """
 
     def mark(batches):
@@ -328,17 +349,19 @@ def _sets(spark: SparkSession, docs: DataFrame, n: int, wanted: DataFrame) -> Da
     shared = spark.sparkContext.broadcast(merged.tobytes())
 
     def run(batches):
-        own, bits = Shingler(n), np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        own, seen, bits = Shingler(n), _Seen(), np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for batch in batches:
             doc_ids = batch.column(0)
             ids = np.array([x or 0 for x in doc_ids.to_pylist()], np.int64)
             batch = batch.filter(pa.array(bits[_slots(ids)]))
             for start, texts in text_runs(batch, "text"):
-                grams = pa.array([s.tobytes() for s in own.sets(texts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), grams], ["doc_id", "grams"])
+                own_ids = batch.column(0).slice(start, len(texts)).to_pylist()
+                found = [(d, raw) for d, s in zip(own_ids, own.sets(texts)) if len(s) and seen.new((d, xxhash.xxh3_128_digest(raw := s.tobytes())))]
+                a, b = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary())], ["doc_id", "grams"])
 
     sets = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, grams binary")
-    return sets.where("octet_length(grams) > 0").join(wanted.hint("merge"), "doc_id")
+    return sets.join(wanted.hint("merge"), "doc_id")
 
 
 def _slots(ids: np.ndarray) -> np.ndarray:
@@ -373,11 +396,12 @@ def _cluster_links(spark, docs, n, percent, clusters: DataFrame, scratch: Scratc
     sets = scratch.write(found, "cluster_sets")
 
     def within(group: dict) -> list[tuple]:
-        ids = group["doc_id"]
+        own = set(zip(group["doc_id"], group["grams"]))  # each set once
+        ids = [d for d, _ in own]
         union = Union(ids)
-        for a, b in exact_links(ids, [np.frombuffer(x, np.uint64) for x in group["grams"]], [True] * len(ids), percent):
+        for a, b in exact_links(ids, [np.frombuffer(x, np.uint64) for _, x in own], [True] * len(ids), percent):
             union.join(a, b)
-        return [(x, union.find(x)) for x in ids]
+        return [(x, union.find(x)) for x in set(ids)]
 
     def across(group: dict) -> list[tuple]:
         return exact_links(group["label"], [np.frombuffer(x, np.uint64) for x in group["grams"]], group["is_left"], percent)
@@ -450,11 +474,19 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     """
     scratch = Scratch(spark, "jaccard")
     sig = scratch.write(signatures(spark, docs, n, percent, _heavy(docs, n, scratch)), "signatures")
-    linked = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    linked = sig.where("bits IS NOT NULL AND doc_id IS NOT NULL")
     classes = scratch.write(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     base = scratch.write(sig.select("doc_id", "n_shingles", "d1", "d2"), "base")
-    reps = scratch.write(linked.join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").drop("d1", "d2"), "reps")
+    own = ["doc_id", "d1", "d2"]
+    reps = linked.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2").hint("merge"), own, "left_semi").dropDuplicates(own)
+    reps = scratch.write(reps.drop("d1", "d2"), "reps")
     scratch.drop("signatures")
+    # a doc_id with several sets is one node, so it links their classes
+    place = F.struct("d1", "d2")
+    several = base.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("doc_id")
+    several = scratch.write(several, "several")
+    homes = base.where("n_shingles > 0").join(several.hint("merge"), "doc_id", "left_semi").select(*own).distinct()
+    joined = homes.join(classes.hint("merge"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -467,7 +499,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     shared = _shared_tokens(spark, reps, clusters, percent, scratch)
     counts = shared.groupBy("token", "c").agg(F.count("*").alias("n_group"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").drop("lo", "hi")
     dealt = _block_pairs(shared, counts, ["token", "c"])
-    with_bits = dealt.join(reps.select("doc_id", "bits").dropDuplicates(["doc_id"]).hint("merge"), "doc_id")
+    with_bits = dealt.join(reps.select("doc_id", "n_shingles", "bits").hint("merge"), ["doc_id", "n_shingles"])
 
     def pairs(group: dict) -> list[tuple[int, int]]:
         # guests of the class above meet homes only, so a pair meets in one group of a token
@@ -480,20 +512,23 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
 
     candidates = scratch.write(by_group(with_bits, ["token", "c", "bi", "bj"], pairs, _PAIR).where("a <> b").distinct(), "candidates")
     outer = _verified(spark, docs, n, percent, candidates, scratch)
-    links = inner.unionByName(outer)
+    links = inner.unionByName(outer).unionByName(joined)
     found = scratch.write(components(links, scratch, "final"), "final")
     for name in ("reps", "shared", "sets", "candidates"):
         scratch.drop(name)
     labelled = classes.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = base.join(labelled.hint("merge"), ["d1", "d2"], "left")
-    alone = (F.col("n_shingles") == 0) | F.col("component_id").isNull() | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # empty sets of a doc_id that has others too
+    nodes = several.join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").withColumnRenamed("component", "of_node")
+    out = out.join(nodes.hint("merge"), "doc_id", "left")
+    whole = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("of_node", whole, "doc_id").alias("component_id"))
 
 
 def _verified(spark, docs, n, percent, candidates: DataFrame, scratch: Scratch) -> DataFrame:
     """The candidate pairs (a, b) that link, by their whole sets."""
     wanted = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
-    sets = scratch.write(_sets(spark, docs, n, scratch.write(wanted, "wanted")), "sets")
+    sets = scratch.write(_sets(spark, docs, n, scratch.write(wanted, "wanted")).dropDuplicates(["doc_id", "grams"]), "sets")
     left = candidates.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")).hint("merge"), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
 
@@ -513,5 +548,6 @@ def _verified(spark, docs, n, percent, candidates: DataFrame, scratch: Scratch)
 
 def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that are the smallest doc_id of their component."""
-    heads = similar_components(spark, docs, n, percent).where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads.withColumnRenamed("doc_id", "_head").hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_head")), "left_semi")
+    head = free_name(docs.columns, "head")
+    heads = similar_components(spark, docs, n, percent).where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias(head)).distinct()
+    return docs.join(heads.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(head)), "left_semi")
