@@ -96,6 +96,21 @@ def text_runs(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
         yield start, texts[start:]
 
 
+class Seen:
+    """Rows that a task has met lately, so that one that a third of all rows repeat is sent once a task."""
+
+    def __init__(self, limit: int = 100_000):
+        self.limit, self.keys = limit, set()
+
+    def new(self, key) -> bool:
+        if key in self.keys:
+            return False
+        if len(self.keys) >= self.limit:
+            self.keys.clear()
+        self.keys.add(key)
+        return True
+
+
 def by_group(df: DataFrame, keys: list[str], fn, out: list[tuple[str, pa.DataType, str]]) -> DataFrame:
     """Rows of ``fn(columns)`` for each group of ``keys``: columns is a dict of lists, fn gives a list of tuples.
 

@@ -5,20 +5,19 @@ anchors at equal places, so only suffixes that start at an anchor need sorting,
 same anchor string. A context is what windows around the anchor can reach: up to LENGTH - GRAM bytes before it and
 LENGTH from it on.
 
-1. A window reaches far to the left of its anchor or far to the right, so an anchor whose two side strings occur
-   once is in no repeat. A scan counts side keys; the repeated ones pass to a bit array of fixed size, and a second
-   scan gives the anchors that it lets pass, with a digest of their context. Equal contexts are combined first:
-   their windows repeat.
+1. One scan gives every anchor with a digest of its context. Equal contexts are combined and carry their count: they
+   are equal strings of the suffix array, and one of them stands for all.
 2. For anchors with different contexts, the contexts are sorted by the bytes from the anchor on (a sparse suffix
    array), neighbours give common prefixes, and a stack scan gives the tree of common-prefix intervals. In an
    interval of depth r, members repeat with those whose left extensions agree for LENGTH - r bytes; extensions that
    differ beyond that end the repeat (left diversity). The same scan from the left bounds the other end. All members
-   of an interval count, not just neighbours.
-3. An anchor with more than MANY different contexts (a passage that a large share of all documents hold) is split
-   by its windows instead: their digests are counted across tasks.
-4. Spans are joined a document and cut out.
+   of an interval count, not just neighbours; a context that counts more than once repeats as a whole.
+3. An anchor with more than MANY different contexts (a passage that a large share of all documents hold) does not fit
+   one task; it is split by its windows instead: their digests are counted across tasks.
+4. Spans are joined a document and cut out. ``repeat_groups`` gives the intervals themselves: every maximal repeat
+   with all of its occurrences.
 
-Contexts are compared by their bytes (step 2) or by 128-bit digests (steps 1 and 3).
+Different contexts are compared by their bytes, equal ones are combined by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, by_group, text_runs
+from ._common import Scratch, Seen, by_group, text_runs
 
 LENGTH, GRAM = 400, 64
 MANY = 50_000
@@ -102,12 +101,12 @@ def _shared(a: bytes, b: bytes) -> int:
     return low
 
 
-def _reach(own: list[bytes], other: list[bytes], length: int) -> list[int]:
+def _reach(own: list[bytes], other: list[bytes], counts: list[int], length: int) -> list[int]:
     """For each member the most bytes of ``own`` in a repeated window; both sides are read outward from the anchor."""
     n = len(own)
     order = sorted(range(n), key=own.__getitem__)
     common = [_shared(own[order[i]], own[order[i + 1]]) for i in range(n - 1)]
-    best = [0] * n
+    best = [len(x) if c > 1 and len(x) + len(y) >= length else 0 for x, y, c in zip(own, other, counts)]
     for depth, first, last in intervals(common, n):
         need = length - depth
         if need <= 0:
@@ -127,17 +126,37 @@ def _reach(own: list[bytes], other: list[bytes], length: int) -> list[int]:
     return best
 
 
-def repeated_reach(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> list[tuple[int, int]]:
+def repeated_reach(lefts: list[bytes], rights: list[bytes], counts: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
     """(left, right) bytes around the anchor that repeated windows cover, for different contexts; (0, 0): none.
 
-    ``lefts`` are reversed, so both sides start at the anchor.
+    ``lefts`` are reversed, so both sides start at the anchor. ``counts``: how often each context occurs.
     """
-    right = _reach(rights, lefts, length)
-    left = _reach(lefts, rights, length) if any(right) else right
+    right = _reach(rights, lefts, counts, length)
+    left = _reach(lefts, rights, counts, length) if any(right) else right
     # a window that covers no byte before the anchor: left 0 is right for these
     return [(x, min(y, length)) for x, y in zip(left, right)]
 
 
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], counts: list[int], length: int = LENGTH):
+    """(left, right, members) of every repeat of ``length`` bytes or more around one anchor that no longer one of the
+    same members holds, within the contexts.
+
+    A context that occurs more than once is two equal strings of the suffix array. Each interval of the right sides is
+    taken with each interval of its members' left sides; the pair is put out where the members have no more bytes in
+    common on the right (they would belong to a deeper interval).
+    """
+    order = sorted((k for k, c in enumerate(counts) for _ in range(min(c, 2))), key=rights.__getitem__)
+    common = [_shared(rights[a], rights[b]) for a, b in zip(order, order[1:])]
+    for depth, first, last in intervals(common, len(order)):
+        members = sorted(range(first, last + 1), key=lambda i: lefts[order[i]])
+        shared = [_shared(lefts[order[a]], lefts[order[b]]) for a, b in zip(members, members[1:])]
+        # the whole interval is one of its left intervals, with what all have in common
+        for left, i, j in {(min(shared), 0, len(members) - 1), *intervals(shared, len(members))}:
+            own = members[i : j + 1]
+            if left + depth >= length and min(common[min(own) : max(own)]) == depth:
+                yield left, depth, sorted({order[x] for x in own})
+
+
 # ---------------------------------------------------------------- Spark
 
 def _marked(spark: SparkSession, rows: DataFrame):
@@ -169,140 +188,156 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
 
 
-def _sides(raw: bytes, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two keys an anchor. A window reaches ``near`` bytes before the anchor, or its rest after it: the left key
-    covers ``near`` bytes before and the anchor string, the right key all bytes after that a window with a shorter
-    left part holds. Keys of places that lie too near an end of the text differ from all others."""
-    near = (length - gram) // 2
-    far = length - near
-    left = [xxhash.xxh3_64_intdigest(raw[p - near : p + gram], 1) if p >= near else 0 for p in at.tolist()]
-    right = [xxhash.xxh3_64_intdigest(raw[p : p + far], 2) if p + far <= len(raw) else 0 for p in at.tolist()]
-    return np.array(left, np.uint64).view(np.int64), np.array(right, np.uint64).view(np.int64)
-
-
-def _side_keys(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for _, texts in text_runs(batch, "text", 1 << 20):
-                for t in texts:
-                    raw = t.encode()
-                    keys = np.concatenate(_sides(raw, anchors(raw, length, gram)[0], length, gram))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[keys != 0])], ["key"])
-
-    long_enough = docs.where(F.octet_length("text") >= length).select("text")
-    return long_enough.mapInArrow(run, "key long")
-
-
-def _scan(docs: DataFrame, length: int, gram: int, keys) -> DataFrame:
-    """Anchors of every text with a marked side key, and digests of their contexts."""
+def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Anchors of every text, and digests of their contexts."""
     side = length - gram
 
     def run(batches):
-        marked = np.frombuffer(keys.value, np.uint8)
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1)
-            th = hashes.to_numpy(zero_copy_only=False)
             for start, texts in text_runs(batch, "text", 1 << 20):
                 rows, place, digests = [], [], bytearray()
                 for k, t in enumerate(texts):
                     raw = t.encode()
                     at, h = anchors(raw, length, gram)
-                    keep = np.logical_or(*(_among(marked, x) & (x != 0) for x in _sides(raw, at, length, gram)))
-                    at, h = at[keep], h[keep]
-                    if not len(at):
-                        continue
                     before, after = np.minimum(at, side), np.minimum(len(raw) - at, length)
                     for p, b, a in zip(at.tolist(), before.tolist(), after.tolist()):
                         digests += xxhash.xxh3_128_digest(raw[p - b : p + a], seed=b)
                     rows.append(np.full(len(at), start + k))
-                    place.append((at, h.view(np.int64), before, after, _codes(at, h, th[start + k])))
-                if not rows:
-                    continue
+                    place.append((at, h.view(np.int64), before, after))
                 row = pa.array(np.concatenate(rows))
-                at, h, before, after, code = (np.concatenate(x) for x in zip(*place))
+                at, h, before, after = (np.concatenate(x) for x in zip(*place))
                 digest = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([ids.take(row), hashes.take(row), pa.array(at.astype(np.int32)), pa.array(h), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(before.astype(np.int16)), pa.array(after.astype(np.int16)), pa.array(code)], names)
+                yield pa.RecordBatch.from_arrays([ids.take(row), hashes.take(row), pa.array(at.astype(np.int32)), pa.array(h), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(before.astype(np.int16)), pa.array(after.astype(np.int16))], names)
 
-    kinds = "doc_id long, th long, pos int, anchor long, c1 long, c2 long, before short, after short, code long"
+    kinds = "doc_id long, th long, pos int, anchor long, c1 long, c2 long, before short, after short"
     names = [k.split()[0] for k in kinds.split(", ")]
     return _keyed(docs).where(F.octet_length("text") >= length).mapInArrow(run, kinds)
 
 
-def _codes(at: np.ndarray, h: np.ndarray, th) -> np.ndarray:
-    """A number for each place, to mark places with."""
-    return (at.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ h ^ np.uint64(int(th) & (1 << 64) - 1)).view(np.int64)
+def _texts_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, th, ...; one row a text) with the text. Rows that repeat a doc_id and text come once a task.
 
+    A bit array of fixed size keeps most other texts from being sent; the join decides, so where the array is full
+    every text is sent once and no more.
+    """
+    bits = _marked(spark, wanted.select("th"))
+
+    def chosen(batches):
+        marked, seen = np.frombuffer(bits.value, np.uint8), Seen()
+        for batch in batches:
+            ids, th = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            keep = _among(marked, th)
+            for k in np.flatnonzero(keep).tolist():
+                keep[k] = seen.new((ids[k], int(th[k])))
+            yield batch.filter(pa.array(keep))
 
-def _contexts(docs: DataFrame, length: int, gram: int, chosen, places, hot, want_hot: bool) -> DataFrame:
-    """anchor, c1, c2, lefts (reversed), rights: the bytes of marked places of marked anchors, hot ones or others.
+    part = _keyed(docs).where("text IS NOT NULL").mapInArrow(chosen, "doc_id long, th long, text string")
+    others = [c for c in wanted.columns if c not in ("doc_id", "th")]
+    return part.join(wanted.hint("merge"), _same(part, wanted)).select(part["doc_id"], part["th"], "text", *others)
 
-    Marks let some more pass: a place of a context that is there already, or an anchor that stands alone. Both are
-    harmless to what follows.
-    """
+
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
+
+
+def _contexts(spark: SparkSession, docs: DataFrame, contexts: DataFrame, several: DataFrame, scratch: Scratch, length: int, gram: int) -> DataFrame:
+    """anchor, c1, c2, n, n_contexts, lefts (reversed), rights: each context once (or once a task, where rows repeat)
+    of the anchors that have several, read at the place that stands for it."""
     side = length - gram
+    rows = contexts.join(several.hint("merge"), "anchor")
+    places = rows.groupBy("place.doc_id", "place.th").agg(F.collect_list(F.struct("place.pos", "anchor", "c1", "c2", "n", "n_contexts")).alias("places"))
+    met = _texts_of(spark, docs, scratch.write(places, "places")).select("text", "places")
 
-    def run(batches):
-        anchor_bits, place_bits = np.frombuffer(chosen.value, np.uint8), np.frombuffer(places.value, np.uint8)
-        hot_bits = np.frombuffer(hot.value, np.uint8) if hot is not None else None
+    def cut(batches):
         for batch in batches:
-            th = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, texts in text_runs(batch, "text", 1 << 20):
-                hashes, left, right, digests = [], [], [], bytearray()
-                for k, t in enumerate(texts):
-                    raw = t.encode()
-                    at, h = anchors(raw, length, gram)
-                    keep = _among(anchor_bits, h.view(np.int64)) & _among(place_bits, _codes(at, h, th[start + k]))
-                    if hot_bits is not None:
-                        keep &= _among(hot_bits, h.view(np.int64)) == want_hot
-                    for p in at[keep].tolist():
-                        before = min(p, side)
-                        digests += xxhash.xxh3_128_digest(raw[p - before : p + length], seed=before)
-                        left.append(raw[p - before : p][::-1])
-                        right.append(raw[p : p + length])
-                    hashes.append(h[keep].view(np.int64))
-                digest = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names)
+            for row in range(batch.num_rows):
+                raw = batch.column(0)[row].as_py().encode()
+                # one text's contexts are a few times its size
+                own = batch.column(1).slice(row, 1).flatten().flatten()
+                at = own[0].to_pylist()
+                left = pa.array([raw[max(0, p - side) : p][::-1] for p in at], pa.binary())
+                right = pa.array([raw[p : p + length] for p in at], pa.binary())
+                yield pa.RecordBatch.from_arrays([*own[1:], left, right], names)
+
+    names = ["anchor", "c1", "c2", "n", "n_contexts", "lefts", "rights"]
+    return met.mapInArrow(cut, "anchor long, c1 long, c2 long, n long, n_contexts long, lefts binary, rights binary")
+
+
+class _Found:
+    """Tables of one run: found (every anchor), contexts (each with its count), solved (bytes of the anchors with
+    several contexts)."""
 
-    names = ["anchor", "c1", "c2", "lefts", "rights"]
-    return _keyed(docs).where(F.octet_length("text") >= length).select("th", "text").mapInArrow(run, "anchor long, c1 long, c2 long, lefts binary, rights binary")
+    def __init__(self, spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int, gram: int):
+        self.found = scratch.write(_scan(docs, length, gram), "found")
+        place = F.min(F.struct("doc_id", "th", "pos")).alias("place")
+        grouped = self.found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n"), place, F.first("before").alias("before"), F.first("after").alias("after"))
+        self.contexts = scratch.write(grouped, "contexts")
+        several = scratch.write(self.contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"), "several")
+        self.bytes = _contexts(spark, docs, self.contexts, several, scratch, length, gram)
+
+
+def _once(group: dict) -> tuple[list, list, list, list]:
+    """(c1, c2) pairs, lefts, rights, counts of a group's contexts, each once, in a fixed order."""
+    unique = {(x, y): rest for x, y, *rest in zip(group["c1"], group["c2"], group["lefts"], group["rights"], group["n"])}
+    keys = sorted(unique)
+    return keys, *([unique[k][i] for k in keys] for i in range(3))
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """doc_id, th (hash of the text), spans: array of (start, stop), which overlap, of repeated bytes."""
-    twice = scratch.write(_side_keys(docs, length, gram).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    found = scratch.write(_scan(docs, length, gram, _marked(spark, twice)), "found")
-    scratch.drop("keys")
-    contexts = scratch.write(found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n"), F.min("code").alias("code")), "contexts")
-    # anchors with several contexts, one at least that is not known to repeat as a whole
-    several = scratch.write(contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts"), F.min("n").alias("least")).where("n_contexts > 1 AND least = 1").drop("least"), "several")
-    chosen, places = _marked(spark, several.select("anchor")), _marked(spark, contexts.select("code"))
-    crowded = several.where(F.col("n_contexts") > many).select("anchor")
-    hot = _marked(spark, crowded) if crowded.head(1) else None
+    own = _Found(spark, docs, scratch, length, gram)
+    columns = [(n, pa.int64(), "long") for n in ("anchor", "c1", "c2")] + [(n, pa.int16(), "short") for n in ("l", "r")]
 
     def solve(group: dict) -> list[tuple]:
-        unique = {(x, y): (a, b) for x, y, a, b in zip(group["c1"], group["c2"], group["lefts"], group["rights"])}
-        if len(unique) < 2:
-            return []
-        reach = repeated_reach([a for a, _ in unique.values()], [b for _, b in unique.values()], length)
-        return [(group["anchor"][0], c1, c2, x, y) for (c1, c2), (x, y) in zip(unique, reach) if x + y >= length]
-
-    columns = [(n, pa.int64(), "long") for n in ("anchor", "c1", "c2")] + [(n, pa.int16(), "short") for n in ("l", "r")]
-    solved = by_group(_contexts(docs, length, gram, chosen, places, hot, False), ["anchor"], solve, columns)
-    if hot is not None:
-        texts = scratch.write(_contexts(docs, length, gram, chosen, places, hot, True), "hot")
-        solved = solved.unionByName(_by_windows(texts, length, gram))
-    equal = contexts.where("n > 1").select("anchor", "c1", "c2", F.lit(None).cast("short").alias("l"), F.lit(None).cast("short").alias("r"))
-    # a context may be in both: the equal one covers all of it
-    verdict = scratch.write(equal.unionByName(solved), "verdicts")
-    spans = found.join(verdict.hint("merge"), ["anchor", "c1", "c2"]).select(
-        "doc_id", "th", (F.col("pos") - F.coalesce("l", "before")).alias("start"), (F.col("pos") + F.coalesce("r", "after")).alias("stop")
-    ).where(F.col("stop") - F.col("start") >= length)
+        keys, lefts, rights, counts = _once(group)
+        reach = repeated_reach(lefts, rights, counts, length)
+        return [(group["anchor"][0], c1, c2, x, y) for (c1, c2), (x, y) in zip(keys, reach) if x + y >= length]
+
+    bytes_of = scratch.write(own.bytes, "bytes")
+    crowded = F.col("n_contexts") > many
+    solved = by_group(bytes_of.where(~crowded).drop("n_contexts"), ["anchor"], solve, columns)
+    solved = solved.unionByName(_by_windows(bytes_of.where(crowded).drop("n_contexts"), length, gram))
+    # an anchor with one context needs no sorting: its only interval is the context, as often as it counts
+    alone = own.contexts.join(bytes_of.select("anchor").distinct().hint("merge"), "anchor", "left_anti").where((F.col("n") > 1) & (F.col("before") + F.col("after") >= length))
+    verdict = scratch.write(alone.select("anchor", "c1", "c2", F.col("before").alias("l"), F.col("after").alias("r")).unionByName(solved), "verdicts")
+    spans = own.found.join(verdict.hint("merge"), ["anchor", "c1", "c2"]).select("doc_id", "th", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"))
     out = scratch.write(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
-    for name in ("found", "contexts", "several", "verdicts"):
+    for name in ("found", "contexts", "several", "places", "bytes", "verdicts"):
         scratch.drop(name)
     return out
 
 
+def repeat_groups(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """group (hex), anchor, doc_id, start, n_bytes, n_occurrences: maximal repeats of ``length`` bytes or more, a row an
+    occurrence.
+
+    A group holds all places of one byte string in the corpus that cannot be longer without losing a place, as far as
+    the contexts of its anchor reach; a longer repeat is a chain of such groups, one for each of its anchors. An
+    anchor's different contexts are held in one task. Rows that repeat a doc_id and text are each an occurrence.
+    """
+    scratch = Scratch(spark, "repeats")
+    own = _Found(spark, docs, scratch, length, gram)
+    columns = [("anchor", pa.int64(), "long"), ("number", pa.int64(), "long"), ("c1", pa.int64(), "long"), ("c2", pa.int64(), "long"), ("l", pa.int16(), "short"), ("r", pa.int16(), "short")]
+
+    def solve(group: dict) -> list[tuple]:
+        keys, lefts, rights, counts = _once(group)
+        # a string that only a longer window made an anchor of has places without it: another anchor lists them all
+        own = lambda x, y, k: x in anchors(lefts[k][:x][::-1] + rights[k][:y], length, gram)[0]
+        found = [f for f in maximal_repeats(lefts, rights, counts, length) if own(f[0], f[1], f[2][0])]
+        return [(group["anchor"][0], k, *keys[m], x, y) for k, (x, y, members) in enumerate(found) for m in members]
+
+    bytes_of = scratch.write(own.bytes, "bytes")
+    solved = by_group(bytes_of.drop("n_contexts"), ["anchor"], solve, columns)
+    alone = own.contexts.join(bytes_of.select("anchor").distinct().hint("merge"), "anchor", "left_anti").where((F.col("n") > 1) & (F.col("before") + F.col("after") >= length))
+    alone = alone.select("anchor", F.lit(0).cast("long").alias("number"), "c1", "c2", F.col("before").alias("l"), F.col("after").alias("r"))
+    members = scratch.write(alone.unionByName(solved), "members")
+    counts = members.join(own.contexts.select("anchor", "c1", "c2", "n").hint("merge"), ["anchor", "c1", "c2"]).groupBy("anchor", "number").agg(F.sum("n").alias("n_occurrences"))
+    placed = own.found.join(members.hint("merge"), ["anchor", "c1", "c2"]).join(scratch.write(counts, "counts").hint("merge"), ["anchor", "number"])
+    name = F.concat(F.hex("anchor"), F.lit("-"), F.col("number"))
+    return placed.select(name.alias("group"), "anchor", "doc_id", (F.col("pos") - F.col("l")).cast("long").alias("start"), (F.col("l") + F.col("r")).cast("long").alias("n_bytes"), "n_occurrences")
+
+
 def _by_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """The verdicts of anchors with very many contexts, by digests that are counted across tasks.
 
@@ -319,19 +354,19 @@ def _by_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 for j in span:
                     need = max(gram, length - j - CELL) if cells else length - j
                     if j <= len(left) and need <= len(right):
-                        out.append((row["anchor"], row["c1"], row["c2"], j, xxhash.xxh3_128_digest(left[:j] + right[:need])))
+                        out.append((row["anchor"], row["c1"], row["c2"], row["n"], j, xxhash.xxh3_128_digest(left[:j] + right[:need])))
             if out:
-                a, c1, c2, j, f = zip(*out)
+                a, c1, c2, n, j, f = zip(*out)
                 g = np.frombuffer(b"".join(f), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(j, pa.int32()), pa.array(g[:, 0]), pa.array(g[:, 1])], ["anchor", "c1", "c2", "j", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(j, pa.int32()), pa.array(g[:, 0]), pa.array(g[:, 1])], ["anchor", "c1", "c2", "n", "j", "f1", "f2"])
 
-    kinds = "anchor long, c1 long, c2 long, j int, f1 long, f2 long"
+    kinds = "anchor long, c1 long, c2 long, n long, j int, f1 long, f2 long"
     own = texts.dropDuplicates(["anchor", "c1", "c2"])
     # one anchor at one distance: a window with two anchors must not meet itself
     same, context = ["anchor", "j", "f1", "f2"], ["anchor", "c1", "c2"]
 
     def shared(rows):
-        again = rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        again = rows.groupBy(*same).agg(F.sum("n").alias("times")).where("times > 1").drop("times")
         return rows.join(again.hint("merge"), same)
 
     cells = shared(own.mapInArrow(lambda b: digest_rows(b, True), kinds)).select(*context, F.col("j").alias("low"))
@@ -360,17 +395,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     """
     scratch = Scratch(spark, "repeats")
     spans = repeated_spans(spark, docs, scratch, length, gram, many)
-    bits = _marked(spark, spans.select("th"))
-
-    def chosen(batches):
-        wanted = np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
-            yield batch.filter(pa.array(_among(wanted, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64))))
-
-    keyed = _keyed(docs)
-    part = keyed.where("text IS NOT NULL").mapInArrow(chosen, "doc_id long, th long, text string")
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    met = part.join(spans.hint("merge"), same(part, spans)).select(part["doc_id"], part["th"], "text", "spans")
+    met = _texts_of(spark, docs, spans)
 
     def finish(batches):
         for batch in batches:
@@ -384,7 +409,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
 
     changed = scratch.write(met.mapInArrow(finish, "doc_id long, th long, n_removed long, n_spans long, kept string").dropDuplicates(["doc_id", "th"]), "changed")
     raw = F.coalesce("text", F.lit(""))
-    base = keyed.select("doc_id", "th", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw.cast("binary"), 256).alias("full"))
+    base = _keyed(docs).select("doc_id", "th", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw.cast("binary"), 256).alias("full"))
     zero = F.lit(0).cast("long")
-    out = base.join(changed.hint("merge"), same(base, changed), "left")
+    out = base.join(changed.hint("merge"), _same(base, changed), "left")
     return out.select(base["doc_id"], "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "full").alias("kept_sha256"))

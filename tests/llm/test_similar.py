@@ -50,6 +50,54 @@ def test_no_documents_no_repeats(spark):
     assert R.remove_repeats(spark, frame(spark, documents()[3:7])).where("n_removed > 0").count() == 0
 
 
+def test_groups_hold_all_occurrences(spark):
+    """Each group is one byte string, with all of its places and no byte more that all of them share; every repeated
+    window lies in a group."""
+    length = 40
+    r = random.Random(3)
+    passages = ["".join(r.choice("abcd ") for _ in range(90)) for _ in range(4)]
+    texts = [None, "", passages[0], "x" * 130]
+    for _ in range(25):
+        texts.append("".join(r.choice(("".join(r.choice("abcd ") for _ in range(r.randint(1, 30))), (p := r.choice(passages))[r.randint(0, 20) : r.randint(60, 90)], p)) for _ in range(4)))
+    texts += [texts[6], texts[7]]
+    docs = frame(spark, [(k, t, "a", "s", 1, 0.0) for k, t in enumerate(texts)])
+    rows = R.repeat_groups(spark, docs, length, 8).collect()
+    raw = {k: (t or "").encode() for k, t in enumerate(texts)}
+    groups = {}
+    for x in rows:
+        groups.setdefault(x.group, []).append(x)
+    covered = {k: set() for k in raw}
+    for own in groups.values():
+        size, strings = own[0].n_bytes, {raw[x.doc_id][x.start : x.start + x.n_bytes] for x in own}
+        assert len(strings) == 1 and len(string := strings.pop()) == size >= length
+        every = {(k, at) for k, b in raw.items() for at in range(len(b) - size + 1) if b[at : at + size] == string}
+        assert {(x.doc_id, x.start) for x in own} == every and len(own) == len(every) == own[0].n_occurrences > 1
+        for k, at in every:
+            covered[k].update(range(at, at + size))
+    count = Counter(b[k : k + length] for b in raw.values() for k in range(len(b) - length + 1))
+    want = {k: {p for at in range(len(b) - length + 1) if count[b[at : at + length]] > 1 for p in range(at, at + length)} for k, b in raw.items()}
+    assert covered == want and len(groups) > 10
+
+
+def test_maximal_repeats_against_all_pairs():
+    r = random.Random(8)
+    for _ in range(60):
+        n = r.randint(2, 9)
+        pairs = sorted({("".join(r.choice("ab") for _ in range(r.randint(0, 6))), "x" + "".join(r.choice("ab") for _ in range(r.randint(0, 6)))) for _ in range(n)})
+        lefts, rights = [a.encode() for a, _ in pairs], [b.encode() for _, b in pairs]
+        counts = [r.choice((1, 1, 2)) for _ in pairs]
+        got = {(x, y, tuple(m)) for x, y, m in R.maximal_repeats(lefts, rights, counts, 4)}
+        want = set()
+        for x in range(7):
+            for y in range(1, 8):
+                for k, (a, b) in enumerate(zip(lefts, rights)):
+                    members = tuple(j for j in range(len(pairs)) if len(a) >= x and len(b) >= y and lefts[j][:x] == a[:x] and rights[j][:y] == b[:y])
+                    longer = lambda sides, at: len({s[at : at + 1] or j for j, s in enumerate(sides)}) > 1 or sum(counts[j] for j in members) > 1 and any(len(s) <= at for s in sides)
+                    if members and x + y >= 4 and sum(counts[j] for j in members) > 1 and longer([lefts[j] for j in members], x) and longer([rights[j] for j in members], y):
+                        want.add((x, y, members))
+        assert got == want
+
+
 def test_intervals():
     strings = sorted(["aab", "aabc", "ab", "abab", "b"])
     common = [R._shared(a.encode(), b.encode()) for a, b in zip(strings, strings[1:])]
