@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, by_group, free_name, text_runs
+from ._common import Scratch, Seen, by_group, free_name, text_runs
 from .components import components
 from .repeat_spans import _among, _marked
 
@@ -269,21 +269,6 @@ def possible_pairs(docs, sizes, raw, groups, left, percent: int, homes=None) ->
 
 # ---------------------------------------------------------------- Spark
 
-class _Seen:
-    """Rows that a task has met lately, so that one that a third of all rows repeat is sent once a task."""
-
-    def __init__(self, limit: int = 100_000):
-        self.limit, self.keys = limit, set()
-
-    def new(self, key) -> bool:
-        if key in self.keys:
-            return False
-        if len(self.keys) >= self.limit:
-            self.keys.clear()
-        self.keys.add(key)
-        return True
-
-
 def _heavy(docs: DataFrame, n: int, scratch: Scratch) -> np.ndarray:
     """The most frequent tokens with their counts, HEAVY_TOKENS of them at most, that HEAVY_COUNT or more hold of one
     document in SAMPLE_ONE_IN by hash: the sample grows with the corpus, the list has a fixed bound."""
@@ -312,7 +297,7 @@ def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int, heavy
     shared = spark.sparkContext.broadcast(heavy)
 
     def run(batches):
-        own, seen = Shingler(n), _Seen()
+        own, seen = Shingler(n), Seen()
         for batch in batches:
             doc_ids = batch.column(0)
             ids = doc_ids.to_pylist()
@@ -349,7 +334,7 @@ def _sets(spark: SparkSession, docs: DataFrame, n: int, wanted: DataFrame) -> Da
     shared = spark.sparkContext.broadcast(merged.tobytes())
 
     def run(batches):
-        own, seen, bits = Shingler(n), _Seen(), np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        own, seen, bits = Shingler(n), Seen(), np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for batch in batches:
             doc_ids = batch.column(0)
             ids = np.array([x or 0 for x in doc_ids.to_pylist()], np.int64)
@@ -389,7 +374,8 @@ def _cluster_links(spark, docs, n, percent, clusters: DataFrame, scratch: Scratc
     part with everything. Pairs of one part need no comparison, so the many near copies of one text are sent a few
     times each, not once for every block.
     """
-    counts = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n_group"))
+    # counts are written, so that the joins with them are such as Spark splits where a cluster is large
+    counts = scratch.write(clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n_group")), "cluster_counts")
     found = _sets(spark, docs, n, clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))).join(counts.hint("merge"), "cluster")
     blocks = F.ceil(F.col("n_group") / BLOCK).cast("int")
     found = found.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int")).drop("n_group")
@@ -422,9 +408,9 @@ def _cluster_links(spark, docs, n, percent, clusters: DataFrame, scratch: Scratc
     named = large.join(parts.select(F.col("node").alias("label"), "component").hint("merge"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
     named = scratch.write(named, "named")
     sizes = named.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    largest = scratch.write(sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "largest")
     rest = named.join(largest.hint("merge"), "cluster").where("label <> main").drop("main")
-    n_rest = rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("guests"))
+    n_rest = scratch.write(rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("guests")), "n_rest")
     guests = rest.join(n_rest.hint("merge"), "cluster").withColumn("guest", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("guests")).cast("int"))
     guests = guests.withColumn("at", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("is_left", F.lit(True))
     homes = named.join(n_rest.hint("merge"), "cluster").withColumn("guest", F.explode(F.expr("sequence(0, guests - 1)"))).withColumn("at", F.col("own")).withColumn("is_left", F.lit(False))
@@ -498,7 +484,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
 
     shared = _shared_tokens(spark, reps, clusters, percent, scratch)
     counts = shared.groupBy("token", "c").agg(F.count("*").alias("n_group"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    dealt = _block_pairs(shared, counts, ["token", "c"])
+    dealt = _block_pairs(shared, scratch.write(counts, "token_counts"), ["token", "c"])
     with_bits = dealt.join(reps.select("doc_id", "n_shingles", "bits").hint("merge"), ["doc_id", "n_shingles"])
 
     def pairs(group: dict) -> list[tuple[int, int]]:
