@@ -113,6 +113,8 @@ def _reach(own: list[bytes], other: list[bytes], counts: list[int], length: int)
             for k in order[first : last + 1]:
                 best[k] = max(best[k], length)
             continue
+        if all(best[k] >= depth for k in order[first : last + 1]):
+            continue  # as most members of a wide interval have met in a deeper one
         met: dict[bytes, int] = {}
         members = [(k, other[k][:need]) for k in order[first : last + 1] if len(other[k]) >= need]
         for k, x in members:
