@@ -53,8 +53,8 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_records import read_digests, write_records
 
     directory = Scratch(spark, "records").path("tokens")
-    manifest = write_records(table(spark, sf_dir, "documents"), directory).collect()
-    return read_digests(spark, directory, manifest)
+    write_records(table(spark, sf_dir, "documents"), directory)
+    return read_digests(spark, directory)
 
 
 def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

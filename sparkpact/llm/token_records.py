@@ -5,10 +5,11 @@ uint64 payload length, uint32 masked crc32 of those eight bytes, payload, uint32
 (all little-endian; mask: rotate right by 15 bits and add 0xa282ead8). The payload holds the token ids and the end
 id, two bytes each where the vocabulary allows it, else four. ``<shard>.idx`` holds for each record the doc_id
 (int64), a null flag (int64), the byte offset and the number of ids (uint64 each), so records can be read in any
-order.
+order: ``read_chosen`` reads those of some documents, ``Records`` any record by its number.
 
-Each task writes its shard under a name of its own attempt and renames it at the end: a task that runs again after
-an executor was lost puts the same bytes in the same place.
+Each task writes its shard under a name of its own attempt, and the manifest, a table that Spark commits with the job,
+names the shards that count. A task that runs again after an executor was lost writes another file and nothing is
+renamed or overwritten; files that no manifest names are removed at the end.
 """
 
 from __future__ import annotations
@@ -55,11 +56,16 @@ def _width(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def write_records(docs: DataFrame, directory: str, end_id: int = 2, tokenizer_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """Write shards and their indexes under ``directory`` (a URI that pyarrow opens); returns one row a shard.
+_MANIFEST = "shard long, name string, n_docs long, n_ids long, width string"
 
-    Rows: shard, n_docs, n_ids, width. The range partitioning by doc_id fixes the order; null doc_ids come first,
-    equal ones follow each other by text. A null text gives a record with the end id alone.
+
+def write_records(docs: DataFrame, directory: str, end_id: int = 2, tokenizer_path: str | None = None, ranks_path: str | None = None, shards: int | None = None) -> DataFrame:
+    """Write shards, their indexes and the manifest under ``directory`` (a URI that pyarrow and Spark open), once.
+
+    Returns the manifest, one row a shard: shard, name, n_docs, n_ids, width. Null doc_ids come first; equal ones
+    follow each other by a hash of the text and the text. A null text gives a record with the end id alone. Rows that
+    repeat a doc_id and text may go on in the next shard, so no key is too large for a task. ``shards``: about how many;
+    None leaves it to the session. Other columns are not read.
     """
     tokenizer_path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     ranks_path = ranks_path or public_tokenizers.path(RANKS)
@@ -68,12 +74,11 @@ def write_records(docs: DataFrame, directory: str, end_id: int = 2, tokenizer_pa
         own, task = codec(tokenizer_path, ranks_path), TaskContext.get()
         store, base = fs.FileSystem.from_uri(directory)
         store.create_dir(base)
-        shard, attempt = task.partitionId(), task.taskAttemptId()
-        final, draft = f"{base}/shard-{shard:06d}", f"{base}/_draft-{attempt}"
+        name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         width = _width(own.vocabulary)
         end = np.array([end_id], width).tobytes()
         n_docs = n_ids = at = 0
-        with store.open_output_stream(f"{draft}.rec") as records, store.open_output_stream(f"{draft}.idx") as index:
+        with store.open_output_stream(f"{base}/{name}.rec") as records, store.open_output_stream(f"{base}/{name}.idx") as index:
             for batch in batches:
                 doc_ids = batch.column(0).to_pylist()
                 for start, texts in text_runs(batch, "text"):
@@ -90,44 +95,131 @@ def write_records(docs: DataFrame, directory: str, end_id: int = 2, tokenizer_pa
                     n_ids += int(rows["n"].sum())
         own.memo.clear()
         if n_docs:
-            for kind in ("rec", "idx"):
-                store.move(f"{draft}.{kind}", f"{final}.{kind}")
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": n_docs, "n_ids": n_ids, "width": width}], schema)
-        else:
-            for kind in ("rec", "idx"):
-                store.delete_file(f"{draft}.{kind}")
+            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "name": name, "n_docs": n_docs, "n_ids": n_ids, "width": width}], schema)
+
+    schema = pa.schema([("shard", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.string())])
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange(*([shards] if shards else []), "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text")
+    ordered.select("doc_id", "text").mapInArrow(write, _MANIFEST).write.parquet(f"{directory}/manifest")
+    manifest = docs.sparkSession.read.schema(_MANIFEST).parquet(f"{directory}/manifest")
+    store, base = fs.FileSystem.from_uri(directory)
+    known = {row.name for row in manifest.select("name").collect()}
+    for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if f.is_file and f.base_name.startswith("shard-") and f.base_name.rpartition(".")[0] not in known:
+            store.delete_file(f.path)
+    return manifest
+
+
+def _manifest(spark: SparkSession, directory: str) -> list[tuple]:
+    """(name, first record, ids before, width) of each shard in order: a row a shard."""
+    out, docs, ids = [], 0, 0
+    for row in sorted(spark.read.schema(_MANIFEST).parquet(f"{directory}/manifest").collect(), key=lambda r: r.shard):
+        out.append((row.name, docs, ids, row.width))
+        docs += row.n_docs
+        ids += row.n_ids
+    return out
+
+
+def _index(store, path: str) -> np.ndarray:
+    with store.open_input_stream(f"{path}.idx") as f:
+        return np.frombuffer(f.read(), _INDEX)
+
+
+class Records:
+    """Records of written shards by number, in any order, for loaders that shuffle: one seek and one read a record."""
+
+    def __init__(self, spark: SparkSession, directory: str):
+        self.store, self.base = fs.FileSystem.from_uri(directory)
+        self.shards = _manifest(spark, directory)
+        self.first = np.array([s[1] for s in self.shards], np.int64)
+        self.indexes = {}
+
+    def _of(self, k: int) -> np.ndarray:
+        if k not in self.indexes:
+            self.indexes[k] = _index(self.store, f"{self.base}/{self.shards[k][0]}")
+        return self.indexes[k]
+
+    def __len__(self) -> int:
+        return int(self.first[-1]) + len(self._of(len(self.shards) - 1)) if self.shards else 0
+
+    def __getitem__(self, number: int) -> tuple[int | None, np.ndarray]:
+        """(doc_id, ids with the end id)."""
+        if not 0 <= number < len(self):
+            raise IndexError(number)
+        k = int(np.searchsorted(self.first, number, "right")) - 1
+        row = self._of(k)[number - self.first[k]]
+        with self.store.open_input_file(f"{self.base}/{self.shards[k][0]}.rec") as f:
+            return None if row["null"] else int(row["doc_id"]), _ids(f, row, self.shards[k][3])
+
+
+def _ids(f, row, width: str) -> np.ndarray:
+    size = int(row["n"]) * int(width[2])
+    f.seek(int(row["offset"]))
+    ids = np.frombuffer(unframe(memoryview(f.read(size + 16)), 0), width).astype("<u4")
+    if len(ids) != row["n"]:
+        raise ValueError(f"the record at {row['offset']} is not as long as the index says")
+    return ids
+
+
+def read_chosen(spark: SparkSession, directory: str, doc_ids: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids (binary uint32) of the records of the given documents (column doc_id), by the index.
+
+    A row for each record whose doc_id is among them, however often it is given; nulls and unknown ids have none. Only
+    indexes are read whole.
+    """
+    kinds = "doc_id long, name string, width string, offset long, n long"
 
-    schema = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.string())])
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(write, "shard long, n_docs long, n_ids long, width string")
+    def listed(batches):
+        store, base = fs.FileSystem.from_uri(directory)
+        for batch in batches:
+            for row in batch.to_pylist():
+                index = _index(store, f"{base}/{row['name']}")
+                index = index[index["null"] == 0]
+                same = [pa.array([row[c]] * len(index), pa.string()) for c in ("name", "width")]
+                yield pa.RecordBatch.from_arrays([pa.array(index["doc_id"]), *same, pa.array(index["offset"].astype(np.int64)), pa.array(index["n"].astype(np.int64))], ["doc_id", "name", "width", "offset", "n"])
 
+    def read(batches):
+        store, base = fs.FileSystem.from_uri(directory)
+        opened, name = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["name"] != name:
+                    if opened:
+                        opened.close()
+                    name, opened = row["name"], store.open_input_file(f"{base}/{row['name']}.rec")
+                out.append(_ids(opened, row, row["width"]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        if opened:
+            opened.close()
 
-def read_records(spark: SparkSession, directory: str, manifest: list) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (binary uint32) of written shards, in any order.
+    index = _shards(spark, _manifest(spark, directory)).mapInArrow(listed, kinds)
+    wanted = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    chosen = index.join(wanted.hint("merge"), "doc_id").repartition("name").sortWithinPartitions("name", "offset")
+    return chosen.select("doc_id", "name", "width", "offset", "n").mapInArrow(read, "doc_id long, n_tokens long, ids binary")
 
-    ``manifest``: the rows that ``write_records`` gave, one a shard.
-    """
-    return _read(spark, directory, manifest, False)
+
+def read_records(spark: SparkSession, directory: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (binary uint32) of written shards, in any order."""
+    return _read(spark, directory, False)
 
 
-def read_digests(spark: SparkSession, directory: str, manifest: list) -> DataFrame:
+def read_digests(spark: SparkSession, directory: str) -> DataFrame:
     """As ``read_records``, with ids_crc32 in place of the ids."""
-    return _read(spark, directory, manifest, True)
+    return _read(spark, directory, True)
+
 
+def _shards(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(manifest, "name string, first long, start long, width string").repartition(max(1, len(manifest)))
 
-def _read(spark, directory, manifest, digest):
-    starts, total = [], 0
-    for row in sorted(manifest, key=lambda r: r.shard):
-        starts.append((row.shard, total, row.width))
-        total += row.n_ids
 
+def _read(spark, directory, digest):
     def read(batches):
         store, base = fs.FileSystem.from_uri(directory)
         for batch in batches:
             for row in batch.to_pylist():
-                name, start = f"{base}/shard-{row['shard']:06d}", row["start"]
-                with store.open_input_stream(f"{name}.idx") as f:
-                    index = np.frombuffer(f.read(), _INDEX)
+                name, start = f"{base}/{row['name']}", row["start"]
+                index = _index(store, name)
                 with store.open_input_file(f"{name}.rec") as f:
                     for low in range(0, len(index), 512):
                         part = index[low : low + 512]
@@ -146,5 +238,4 @@ def _read(spark, directory, manifest, digest):
                         yield pa.RecordBatch.from_arrays([doc_ids, pa.array(at), pa.array(counts), last], names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"]
-    shards = spark.createDataFrame(starts, "shard long, start long, width string").repartition(max(1, len(starts)))
-    return shards.mapInArrow(read, f"doc_id long, start long, n_tokens long, {names[3]} {'long' if digest else 'binary'}")
+    return _shards(spark, _manifest(spark, directory)).mapInArrow(read, f"doc_id long, start long, n_tokens long, {names[3]} {'long' if digest else 'binary'}")

@@ -30,7 +30,8 @@ def items(spark):
 
 def records(spark, docs):
     directory = Scratch(spark, "edges").path("records")
-    return token_records.read_digests(spark, directory, token_records.write_records(docs, directory).collect())
+    token_records.write_records(docs, directory)
+    return token_records.read_digests(spark, directory)
 
 
 OPERATORS = {

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from tokenizers import Tokenizer
 
 from sparkpact.llm import bpe_codec as B
@@ -107,8 +109,9 @@ def test_round_trip(spark):
 def test_records(spark):
     importable(spark)
     directory = Scratch(spark, "test").path("records")
-    manifest = R.write_records(frame(spark), directory).collect()
-    rows = R.read_digests(spark, directory, manifest).collect()
+    manifest = R.write_records(frame(spark), directory)
+    assert manifest.agg({"n_docs": "sum"}).first()[0] == len(documents())
+    rows = R.read_digests(spark, directory).collect()
     docs = sorted(documents(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start, want = 0, []
     for d, t, *_ in docs:
@@ -116,10 +119,53 @@ def test_records(spark):
         want.append((str(d), start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in rows) == sorted(want)
-    back = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in R.read_records(spark, directory, manifest).collect()}
+    back = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in R.read_records(spark, directory).collect()}
     assert back[6] == [*encode("word"), 2]
-    nothing = R.write_records(empty(spark), Scratch(spark, "test").path("none")).collect()
-    assert nothing == [] and R.read_digests(spark, directory, []).count() == 0
+    none = Scratch(spark, "test").path("none")
+    assert R.write_records(empty(spark), none).count() == 0 and R.read_digests(spark, none).count() == 0 and len(R.Records(spark, none)) == 0
+
+
+def test_shuffled_reads(spark):
+    importable(spark)
+    directory = Scratch(spark, "test").path("records")
+    R.write_records(frame(spark), directory)
+    texts = {d: t for d, t, *_ in documents()}
+    records = R.Records(spark, directory)
+    order = list(range(len(records)))
+    random.Random(4).shuffle(order)
+    got = {n: records[n] for n in order}
+    assert [got[n][0] for n in sorted(got)] == sorted((d for d, *_ in documents()), key=lambda d: (d is not None, d or 0))
+    assert all(ids.tolist() == [*encode(texts[d]), 2] for d, ids in got.values())
+    with pytest.raises(IndexError):
+        records[len(records)]
+    chosen = spark.createDataFrame([(12,), (3,), (12,), (5,), (None,), (777,)], "doc_id int")
+    rows = R.read_chosen(spark, directory, chosen).collect()
+    assert sorted(r.doc_id for r in rows) == [3, 5, 5, 12]  # doc_id 5 has two records
+    assert all(np.frombuffer(bytes(r.ids), "<u4").tolist() == [*encode(texts[r.doc_id]), 2] and r.n_tokens == len(r.ids) // 4 for r in rows)
+
+
+def test_attempts_that_failed_leave_nothing(spark):
+    """Files of attempts that no manifest names are not read, and are gone at the end; a second write is refused."""
+    importable(spark)
+    directory = Scratch(spark, "test").path("records")
+    folder = Path(directory.removeprefix("file://"))
+    folder.mkdir(parents=True)
+    for kind in ("rec", "idx"):
+        (folder / f"shard-000000-99999.{kind}").write_bytes(b"half a record")
+    manifest = R.write_records(frame(spark), directory)
+    assert {f.stem for f in folder.glob("shard-*")} == {r.name for r in manifest.collect()}
+    assert R.read_records(spark, directory).count() == len(documents())
+    with pytest.raises(AnalysisException):
+        R.write_records(frame(spark), directory)
+
+
+def test_one_hot_key_is_many_shards(spark):
+    importable(spark)
+    directory = Scratch(spark, "test").path("records")
+    rows = [(None, "hot text")] * 3000 + [(k, f"own {k}") for k in range(60)]
+    R.write_records(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), directory, shards=4)
+    sizes = [r.n_docs for r in spark.read.parquet(f"{directory}/manifest").collect()]
+    assert sum(sizes) == 3060 and max(sizes) < 1600
 
 
 def test_damage_is_found():
