@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 from sparkpact.llm import bpe_codec, decontaminate, jaccard_join, language_id, line_chunks
 from sparkpact.llm._common import Scratch, importable, table
 
-#: Documents whose best language scores less are rejected, as are those without letters.
-MIN_LANGUAGE_SCORE = 0.15
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language. The model learns from the documents' own labels."""
+    """Documents in an identified language; unseen scripts, random letters and texts without letters go. The model learns from the documents' own labels."""
     importable(spark)
-    return language_id.keep_identified(spark, docs, language_id.fit(docs), MIN_LANGUAGE_SCORE)
+    return language_id.keep_identified(spark, docs, language_id.fit(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,37 @@ def test_quality(spark):
     assert nothing.count() == 0 and Q.quality(spark, empty(spark), labels).count() == 0
 
 
+def test_quality_scores_match_brute_force(spark):
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    mask, size = (1 << 64) - 1, 256
+
+    def mix(x):
+        x = ((x ^ x >> 31) * 0x9E3779B97F4A7C15) & mask
+        return x ^ x >> 29
+
+    def buckets(text):
+        h = [xxhash.xxh64_intdigest(w.decode("utf-8", "replace").lower()) for w in (text or "").encode().split()]
+        return [mix(x) % size for x in h] + [mix((a * 0xC2B2AE3D27D4EB4F + b) & mask) % size for a, b in zip(h, h[1:])]
+
+    rows = [r for r in documents() if r[0] is not None] + [(100 + k, prose(k, 30 + 3 * k), "a", "s", 1, 0.0) for k in range(40)]
+    good = {100 + k for k in range(15)} | {8}
+    labels = spark.createDataFrame([(k, 1, 0) for k in good] + [(k, 1, 0) for k in list(good)[:3]] + [(9, 0, 0), (116, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    raw, trusted = Counter(), Counter()
+    for d, t, *_ in rows:
+        raw.update(buckets(t))
+        trusted.update(buckets(t) if d in good else [])
+    share = sum(trusted.values()) / sum(raw.values())
+    weight = {b: math.log((trusted[b] + Q.PSEUDO_COUNT) / (raw[b] * share + Q.PSEUDO_COUNT)) for b in raw}
+    want = {d: sum(weight[b] for b in own) / len(own) if (own := buckets(t)) else 0.0 for d, t, *_ in rows}
+    got = Q.quality(spark, frame(spark, rows), labels, threshold=0.01, buckets=size).collect()
+    assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 1e-9 for r in got)
+    assert all(r.kept == (not r.base_failed and want[r.doc_id] >= 0.01) for r in got) and {r.kept for r in got if not r.base_failed} == {True, False}
+
+
 def loads_of(got, shards=8):
     return [sum(r.size for r in got if r.shard == s) for s in range(shards)]
 
@@ -119,11 +150,35 @@ def test_language(spark):
     held = [d for d in truth if d < 900 and zlib.crc32(str(d).encode()) % 4 == 2]
     assert len(held) > 20 and all(got[d].lang_pred == truth[d] for d in held)
     assert all(got[900 + k].lang_pred == "und" for k in range(4)) and all(0 <= r.score <= 1 for r in got.values())
-    kept = L.keep_identified(spark, docs, model, 0.15)
+    kept = L.keep_identified(spark, docs, model)
     assert kept.columns == docs.columns and kept.count() == 240
+    r = random.Random(3)
+    noise = [" ".join("".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(words)) for letters in ("абвгдежзийклмн", "αβγδεζηθικλμ", "一丁七万丈三上下不") for words in (1, 8, 40, 3000)]
+    noise += [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(words)) for words in (100, 3000)]
+    foreign = spark.createDataFrame([(5000 + k, t, "aa", "x", 0, 0.0) for k, t in enumerate(noise)], SCHEMA)
+    assert L.keep_identified(spark, foreign, model).count() == 0  # however many buckets they fill
     assert L.predict(spark, docs, L.fit(empty(spark))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_scores_match_dense_ridge():
+    """With every row a landmark the Nystroem map loses nothing: scores are those of the dense dual problem."""
+    kinds = {"aa": ("the", "and", "ing", "sh"), "bb": ("oede", "ung", "sch", "ei"), "cc": ("cion", "nar", "que", "os")}
+    rows, langs = zip(*[(L.presence(prose(k, 12 + k, s)), lang) for k in range(20) for lang, s in kinds.items()])
+    fresh = [L.presence(prose(700 + k, 15, s)) for k, s in enumerate(kinds.values())]
+    model = L.KernelModel.fit(list(rows), list(langs), [True] * len(rows))
+
+    def kernel(a, b):
+        n, m, d = len(a), len(b), L.DIMENSIONS
+        return (len(set(a.tolist()) & set(b.tolist())) - n * m / d) / np.sqrt(n * (1 - n / d) * m * (1 - m / d))
+
+    gram = np.array([[kernel(a, b) for b in rows] for a in rows])
+    y = np.array([[float(lang == own) for own in sorted(kinds)] for lang in langs])
+    weight = 1 / 20
+    alpha = np.linalg.solve(gram + L.RIDGE * np.eye(len(rows)) * weight / weight, y)
+    want = np.array([[kernel(a, b) for b in rows] for a in fresh]) @ alpha
+    assert np.abs(model.scores(fresh) - want).max() < 2e-3
+
+
 def brute_chunks(text):
     lines, out, own = text.split("\n"), [], []
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
