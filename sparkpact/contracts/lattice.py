@@ -65,3 +65,27 @@ def combine_admission(values: list[str]) -> str:
         if v in values:
             return v
     return "accepts"
+
+
+# ---------------------------------------------------------------- JSON shapes: ("object", fields), ("array", element), ("scalar", type), ("stringLiteral", value), ("union", shapes), ("opaque",)
+
+OPAQUE = ("opaque",)
+
+
+def _alternatives(shapes: list[tuple]) -> list[tuple]:
+    flat = [y for x in shapes for y in (x[1] if x[0] == "union" else (x,))]
+    return list(dict.fromkeys(flat))
+
+
+def join_shapes(shapes: list[tuple | None]) -> tuple | None:
+    """The shape of a value from one of several sources; None stands for a source that only gives NULL."""
+    found = _alternatives([x for x in shapes if x is not None])
+    if OPAQUE in found:
+        return OPAQUE
+    return None if not found else found[0] if len(found) == 1 else ("union", tuple(found))
+
+
+def meet_shapes(shapes: list[tuple]) -> tuple:
+    """The shape of a value that all sources hold: an opaque one adds nothing."""
+    found = _alternatives([x for x in shapes if x != OPAQUE])
+    return OPAQUE if not found else found[0] if len(found) == 1 else ("union", tuple(found))

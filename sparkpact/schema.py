@@ -5,11 +5,13 @@ Facts are declared, then checked against data with ``validation_queries`` before
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .contracts.checks import allowed_labels, intersect_labels
+
 
 @dataclass(frozen=True)
 class Key:
@@ -27,6 +29,7 @@ class TableFacts:
     not_null: frozenset[str] = frozenset()
     keys: tuple[Key, ...] = ()
     allowed: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    types: dict[str, str] = field(default_factory=dict)  # column -> Spark type, in order; empty where only views tell
 
     def ordered_keys(self) -> list[Key]:
         """Preference: primary, then fewer columns, then name."""
@@ -41,6 +44,34 @@ class Schema(dict):
         self[table] = TableFacts(frozenset(not_null.split()) | frozenset(primary.split()), tuple(keys), allowed)
         return self
 
+    def check(self, table: str, expression: str) -> Schema:
+        """Take up the labels that a CHECK of one column leaves; several CHECKs of a column hold together, and an
+        expression that proves no set of labels, or labels that leave nothing, give no fact."""
+        facts = self[table]
+        for column in facts.types or facts.not_null | set(facts.allowed):
+            labels = allowed_labels(expression, column)
+            if labels:
+                met = intersect_labels([facts.allowed[column], labels]) if column in facts.allowed else labels
+                kept = {c: x for c, x in facts.allowed.items() if c != column} | ({column: met} if met else {})
+                self[table] = facts = replace(facts, allowed=kept)
+        return self
+
+    def column_types(self, spark: SparkSession, table: str) -> dict[str, str]:
+        """column -> Spark type in order: as declared, else of the view or table of that name, else nothing."""
+        if table in self and self[table].types:
+            return dict(self[table].types)
+        return dict(spark.table(table).dtypes) if spark.catalog.tableExists(table) else {}
+
+    def register(self, spark: SparkSession, directory: str) -> None:
+        """Views of empty Parquet tables under ``directory`` for the tables with declared types: statements can then be
+        analyzed by the schema alone."""
+        for table, facts in sorted(self.items()):
+            if facts.types:
+                columns = ", ".join(f"`{c}` {kind if kind != 'unknown' else 'string'}" for c, kind in facts.types.items())
+                path = f"{directory.rstrip('/')}/{table}.parquet"
+                spark.createDataFrame([], columns).write.mode("overwrite").parquet(path)
+                spark.read.parquet(path).createOrReplaceTempView(table)
+
     def validation_queries(self, spark: SparkSession, names: set[str] | None = None) -> DataFrame:
         """table, fact, violations: rows that break each declared fact; every count must be 0."""
         out = []

@@ -9,9 +9,11 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from .codecs import STANDARD, Profile, literal_union
+from .contracts import dml
 from .contracts.analysis import Analysis, access, bounds
 from .contracts.lattice import Bounds, Nullability, combine_admission
-from .plans.tree import Node, analyzed
+from .plans.tree import Node, analyzed, mark_parameters
+from .runtime import row_count
 from .schema import Schema
 from .source import SourceError, named_parameters, parse_source, unique_names
 
@@ -39,6 +41,7 @@ class ParamContract:
     type: str
     nullable: bool
     admission: str
+    labels: tuple[str, ...] | None = None
 
 
 @dataclass(frozen=True)
@@ -124,6 +127,14 @@ class Statement:
             out[p] = (kinds[0] if kinds else "void", "accepts" if kinds else "unknown")
         return out
 
+    def _sentinels(self, kinds: dict[str, tuple[str, str]]) -> list[dict]:
+        """Two sets of values, different for every parameter. One whose type nothing tells is a string, or where no string
+        will do (beside numbers in a list of values), a number."""
+        for untyped in ("string", "int"):
+            out = [{p: _typed_sentinel(untyped if kinds[p][0] == "void" else kinds[p][0], k, turn) for k, p in enumerate(self.parameters)} for turn in (0, 1)]
+            if untyped == "int" or not self._fails(out[0]):
+                return out
+
     def _fails(self, args: dict) -> bool:
         try:
             self._plan(args)
@@ -134,13 +145,16 @@ class Statement:
     def analyze(self) -> Contract:
         if m := _COMMAND.match(self.sql):
             reason = "procedureCall" if m[1].upper() == "CALL" else f"definiteDml({m[1].lower()})"
-            contract = Contract(self.name, m[1].lower(), "write", [reason], Bounds(0, 0, "no_result_columns"), [], [ParamContract(p, p, "unknown", False, "unknown") for p in self.parameters])
+            contract = Contract(self.name, m[1].lower(), "write", [reason], Bounds(0, 0, "no_result_columns"), [], self._command_parameters(m[1].upper()))
             self._gates(contract)
             return contract
         kinds = self._parameter_types()
-        sentinels = {p: _typed_sentinel(kinds[p][0], k) for k, p in enumerate(self.parameters)}
+        sentinels, others = self._sentinels(kinds)
         root = self._plan(sentinels)
-        analysis = Analysis(root, self.schema, {str(v): p for p, v in sentinels.items()})
+        if self.parameters:
+            nulls = {p: sentinels[p] if kinds[p][1] == "rejects" else None for p in self.parameters}
+            mark_parameters(root, self._plan(others), None if self._fails(nulls) else self._plan(nulls))
+        analysis = Analysis(root, self.schema)
         fields = self.spark.sql(self.sql, args=sentinels).schema.fields
         found = analysis.columns()
         names = unique_names([f.name for f in fields], self.naming)
@@ -158,6 +172,28 @@ class Statement:
         self._gates(contract)
         return contract
 
+    def _command_parameters(self, verb: str) -> list[ParamContract]:
+        """Types, labels and NULL admission of a command's parameters, from the columns that they are written to or
+        compared with. A type or a set of labels counts only where all those columns agree on it."""
+        props = unique_names(self.parameters, self.naming)
+        if verb == "CALL":
+            return [ParamContract(p, props[k], "unknown", p in self.source.nullable, "unknown") for k, p in enumerate(self.parameters)]
+        table = dml.target(self.spark, self.sql)
+        kinds = self.schema.column_types(self.spark, table)
+        found = dml.assignments(self.spark, self.sql, {table: list(kinds)})
+        compared = dml.comparisons(self.spark, self.sql)
+        admitted = dml.admissions(self.spark, self.sql, self.schema, {table: list(kinds)})
+        facts = self.schema.get(table)
+        out = []
+        for k, p in enumerate(self.parameters):
+            written = [a.column for a in found if a.param == p and a.value_preserving]
+            types = {kinds.get(c, "unknown") for c in [*written, *(c for q, c in compared if q == p)]}
+            kind = types.pop() if len(types) == 1 else "unknown"
+            labels = {facts.allowed.get(c) for c in written if kinds.get(c) == kind} if facts else set()
+            only = labels.pop() if len(labels) == 1 else None
+            out.append(ParamContract(p, props[k], kind, p in self.source.nullable, admitted.get(p, "unknown"), only))
+        return out
+
     def _gates(self, contract: Contract) -> None:
         if self.source.access == "read" and contract.access != "read":
             raise ContractError(f"{self.name}: @access read, but: {', '.join(contract.access_reasons)}")
@@ -188,6 +224,11 @@ class Statement:
             raise ContractError(f"{self.name}: more than one row")
         return rows[0] if rows else None
 
+    def command(self, **params) -> int | None:
+        """Run a statement for its effect; gives the affected rows where the table's source tells them."""
+        rows = self.dataframe(**params).collect()
+        return row_count(rows[0][0]) if len(rows) == 1 and rows[0].__fields__[0].startswith("num_affected") else None
+
     def one(self, **params) -> Row:
         row = self.optional(**params)
         if row is None:
@@ -195,24 +236,25 @@ class Statement:
         return row
 
 
-def _typed_sentinel(kind: str, k: int):
+def _typed_sentinel(kind: str, k: int, turn: int):
+    """A value of a type; the two turns differ for every type."""
     import datetime
     from decimal import Decimal
 
-    n = _SENTINEL + k
+    n = _SENTINEL + 10_000_000 * turn + k
     if kind in ("bigint", "int", "smallint", "tinyint"):
-        return {"bigint": n, "int": n, "smallint": 31_000 + k, "tinyint": 100 + k}[kind]
+        return {"bigint": n, "int": n, "smallint": 31_000 - 1000 * turn + k, "tinyint": 100 - 50 * turn + k % 27}[kind]
     if kind in ("double", "float"):
         return float(n)
     if kind.startswith("decimal"):
-        return Decimal(1)
+        return Decimal(1 + turn)
     if kind == "boolean":
-        return True
+        return turn == 0
     if kind == "date":
-        return datetime.date(2000, 1, 1 + k % 28)
+        return datetime.date(2000 + turn, 1, 1 + k % 28)
     if kind.startswith("timestamp"):
-        return datetime.datetime(2000, 1, 1, 0, 0, k % 60)
-    return f"\x01parameter-{k}"
+        return datetime.datetime(2000 + turn, 1, 1, 0, 0, k % 60)
+    return f"\x01parameter-{turn}-{k}"
 
 
 def _null_casts(root: Node) -> list[str]:

@@ -1,5 +1,7 @@
 """Contracts: goldens pin precision, and running the statement shows that each verdict is true."""
 
+from dataclasses import replace
+
 import pytest
 
 from sparkpact.schema import Schema, testdata_schema
@@ -92,6 +94,106 @@ def test_nullability(views, sql, kind):
         assert views.sql(sql).where("x is null").count() == 0
 
 
+#: (statement, values of its parameters, verdict on the first column); with NULL for every parameter that takes it.
+WITH_PARAMETERS = [
+    ("select :a as x, c_name from customer where c_acctbal > :a or :a is null", {"a": 5.0}, "unknown"),
+    ("select coalesce(:a, :b) as x, c_name from customer where c_name <> :b or :a is null", {"a": None, "b": None}, "unknown"),
+    ("select coalesce(c_acctbal > 0, :a) as x from customer", {"a": True}, "unknown"),
+    ("select coalesce(:a, false) as x from customer", {"a": True}, "nonNull"),
+    ("select :a + cast(1 as decimal(3, 1)) as x, 1 as one from customer limit 1", {"a": 3}, "unknown"),
+    ("select 1 as x, cast(:a as decimal(5, 2)) as y from customer", {"a": 1}, "nonNull"),
+    ("select :a as x where date '2000-01-01' < :a or :a is null", {"a": None}, "unknown"),
+    ("select x from values (:a), (2) as v(x)", {"a": 1}, "unknown"),
+    ("select y as x from (select 1 as z, cast(:a as string) as y) s", {"a": "t"}, "unknown"),
+]
+
+
+@pytest.mark.parametrize("sql,args,kind", WITH_PARAMETERS)
+def test_nullability_under_parameters(views, sql, args, kind):
+    got = contract(views, sql)
+    assert got.columns[0].null.kind == kind, got.columns[0]
+    if kind == "nonNull":
+        for values in (args, dict.fromkeys(args)):
+            assert views.sql(sql, args=values).where("x is null").count() == 0
+
+
+def test_literals_beside_parameters(views):
+    """A literal that looks like a bound value is a literal."""
+    c = contract(views, "select 'a' as x, :t as t, 1 as one from customer where c_acctbal > :a or c_custkey = 910000000 limit 1")
+    assert c.columns[0].labels == ("a",) and c.columns[1].labels is None and c.columns[2].null.kind == "nonNull" and c.bounds.max == 1
+
+
+RECURSIVE = [
+    ("with recursive t(n, a, b) as (select 1, 1, 1 union all select n + 1, cast(null as int), a from t where n < 4) select b as x from t", False),
+    ("with recursive t(n, a, b) as (select 1, 1, 1 union all select n + 1, 5, a from t where n < 4) select b as x from t", True),
+    ("with recursive t(n, a) as (select 1, cast(null as int) union all select n + 1, 7 from t where n < 4) select a as x from t", False),
+]
+
+
+@pytest.mark.parametrize("sql,proved", RECURSIVE)
+def test_recursion(views, sql, proved):
+    kind = contract(views, sql).columns[0].null.kind
+    assert (kind == "nonNull") == proved and (views.sql(sql).where("x is null").count() == 0) == proved
+
+
+def test_facts_hold_for_the_bare_relation_only(views):
+    whole = views.table("nation")
+    try:
+        whole.unionByName(whole).createOrReplaceTempView("nation")
+        assert views.sql("select n_name from nation where n_nationkey = 1").count() == 2
+        assert contract(views, "select n_name from nation where n_nationkey = 1").bounds.max is None
+        assert contract(views, "select n.n_name from nation n where n.n_nationkey = 1").bounds.max is None
+    finally:
+        whole.createOrReplaceTempView("nation")
+    assert contract(views, "select n_name from nation where n_nationkey = 1").bounds.max == 1
+    assert contract(views, "select n.n_name from nation n where n.n_nationkey = 1").bounds.max == 1
+    # another table under a declared name, and a view over the table
+    assert contract(views, "select nation.o_orderkey from orders as nation where nation.o_custkey = 1").bounds.max is None
+    views.sql("create or replace temporary view few as select * from nation where n_regionkey = 1")
+    views.sql("create or replace temporary view twice as select * from nation union all select * from nation")
+    assert contract(views, "select n_name from twice where n_nationkey = 1").bounds.max is None
+    for sql in ("select n_name from few where n_nationkey = 1", "select f.n_name from few f join customer c on c.c_nationkey = f.n_nationkey where c.c_custkey = 3"):
+        got = contract(views, sql).bounds
+        assert got.max is None or views.sql(sql).count() <= got.max
+
+
+def test_unused_definitions_are_not_executed(views):
+    assert contract(views, "with u as (select rand() as r) select 1 as x").access == "read"
+    assert contract(views, "with u as (select rand() as r), v as (select r from u) select r as x from v").access == "write"
+    assert contract(views, "with u as (select uuid() as r), v as (select 1 as y) select y as x from v").access == "read"
+    assert contract(views, "with u as (select rand() as r) select 1 as x where exists (select 1 from u)").access == "write"
+
+
+ENDPOINTS = [
+    ("select r.lower as x from spans", "nullable"),
+    ("select r.lower as x from spans where r.lower is not null", "nonNull"),
+    ("select r.upper as x from spans where r.lower is not null", "nullable"),
+    ("select r.lower as x from spans where not r.empty and not (not r.empty and r.lower is null)", "nonNull"),
+    ("select r.upper as x from spans where not r.empty and not (not r.empty and r.lower is null)", "nullable"),
+    ("select r.lower as x from spans where not r.empty", "nullable"),
+    ("select r.lower as x from spans where r.lower is not null or r.upper is not null", "nullable"),
+    ("select s.r.lower as x from (select 1 as k) a left join (select 1 as k, r from spans where r.lower is not null) s on s.k = a.k", "nullable"),
+    ("select upper(name) as x from spans where upper(name) is not null", "nonNull"),
+    ("select lower(name) as x from spans where upper(name) is not null", "unknown"),
+]
+
+
+@pytest.mark.parametrize("sql,kind", ENDPOINTS)
+def test_range_endpoints(views, tmp_path_factory, sql, kind):
+    from pyspark.sql import functions as F
+
+    from sparkpact.functions import ranges
+
+    folder = f"file://{tmp_path_factory.getbasetemp()}/spans.parquet"
+    rows = views.createDataFrame([(1, 5, "a"), (None, 5, "b"), (3, None, None), (7, 7, "c")], "lo int, hi int, name string")
+    rows.select(ranges.make_range(F.col("lo"), F.col("hi")).alias("r"), "name").write.mode("overwrite").parquet(folder)
+    views.read.parquet(folder).createOrReplaceTempView("spans")
+    got = contract(views, sql, Schema().declare("spans", "")).columns[0].null
+    assert got.kind == kind, got
+    if kind == "nonNull":
+        assert views.sql(sql).where("x is null").count() == 0
+
+
 def test_parameters(views):
     c = contract(views, "select c_name, :tag as tag from customer where c_custkey = :id and c_name <> :name limit :n")
     kinds = {p.name: (p.type, p.admission) for p in c.params}
@@ -124,6 +226,18 @@ def test_json_shapes(views):
     assert c.shape == ("object", (("id", ("scalar", "long"), "nonNull"), ("bal", ("scalar", "double"), "nullable")))
     assert contract(views, "select to_json(collect_list(c_custkey)) as j from customer").columns[0].shape == ("array", ("scalar", "long"))
     assert contract(views, "select upper(c_name) as j from customer").columns[0].shape is None
+    one, two = ("object", (("a", ("scalar", "long"), "nonNull"),)), ("object", (("b", ("scalar", "string"), "nonNull"),))
+    shape = lambda sql: contract(views, sql).columns[0].shape
+    case = "select case when c_custkey > 1 then to_json(named_struct('a', c_custkey)) {} end as j from customer"
+    assert shape(case.format("")) == one and shape(case.format("else null")) == one
+    assert shape(case.format("else to_json(named_struct('b', c_name))")) == ("union", (one, two))
+    assert shape(case.format("else c_name")) == ("opaque",)
+    assert shape("select to_json(named_struct('a', c_name, 'a', c_custkey)) as j from customer") == one
+    assert shape("select to_json(array(named_struct('a', c_custkey), named_struct('a', c_custkey))) as j from customer") == ("array", one)
+    assert shape("select (select to_json(named_struct('a', c_custkey)) from customer limit 1) as j") == one
+    assert shape("select to_json(named_struct('a', c_custkey)) as j from customer union all select to_json(named_struct('b', c_name)) from customer") == ("union", (one, two))
+    assert shape("select coalesce(to_json(collect_list(c_custkey)), '[]') as j from customer") == ("array", ("scalar", "long"))
+    assert shape("select coalesce(to_json(named_struct('a', c_custkey)), '{}') as j from customer") == ("opaque",)
 
 
 def test_gates(views):
@@ -135,6 +249,48 @@ def test_gates(views):
         Statement(views, "-- @nullable other\nselect :n as x", SCHEMA)
 
 
+def test_commands(views):
+    """Types, labels and NULL admission of a command's parameters, and the gate that reads them."""
+    schema = Schema().declare("acc", "email", "id", status=("a", "b"))
+    schema["acc"] = replace(schema["acc"], types={"id": "bigint", "email": "string", "display_name": "string", "status": "string"})
+    insert = "insert into acc (email, display_name, status) values (:email, :display_name, :status)"
+    c = Statement(views, f"-- @nullable display_name\n{insert}", schema).analyze()
+    assert (c.access, c.command, c.bounds.max) == ("write", "insert", 0)
+    assert [(p.name, p.type, p.nullable, p.admission, p.labels) for p in c.params] == [("email", "string", False, "rejects", None), ("display_name", "string", True, "accepts", None), ("status", "string", False, "accepts", ("a", "b"))]
+    with pytest.raises(ContractError, match="@nullable email"):
+        Statement(views, f"-- @nullable email\n{insert}", schema).analyze()
+    c = Statement(views, "update acc set display_name = :n where id = :i", schema).analyze()
+    assert [(p.name, p.type, p.admission) for p in c.params] == [("n", "string", "accepts"), ("i", "bigint", "accepts")]
+    c = Statement(views, "update acc set display_name = :n, id = :n", schema).analyze()
+    assert [(p.name, p.type) for p in c.params] == [("n", "unknown")]
+    merge = "merge into acc t using nation s on t.id = s.n_nationkey when matched then update set status = :s when not matched then insert (id, email) values (s.n_nationkey, :e)"
+    assert [(p.name, p.type, p.labels, p.admission) for p in Statement(views, merge, schema).analyze().params] == [("s", "string", ("a", "b"), "accepts"), ("e", "string", None, "unknown")]
+
+
+LINEAGE = [
+    ("insert into acc (email) select e from (select :e as e) s", "rejects"),
+    ("insert into acc (email) select s.e from (select :e as e, 1 as k) s", "rejects"),
+    ("insert into acc (email) select e from (select cast(:e as string) as e) s", "unknown"),
+    ("insert into acc (email) select e from (select :e as e) s where 1 = 0", "unknown"),
+    ("insert into acc (email) select :e union all select 'x'", "rejects"),
+    ("insert into acc (email) select 'x' union all select e from values (:e), ('y') as v(e)", "rejects"),
+    ("insert into acc (email) with c as (select :e as e) select e from c", "rejects"),
+    ("insert into acc (email) select distinct :e", "rejects"),
+    ("insert into acc (email) select s.e from (select :e as e) s join nation on true", "unknown"),
+    ("insert into acc (display_name) select s.e from (select :e as e) s join nation on true", "accepts"),
+    ("insert into acc (display_name) select e from (select :e as e group by 1) s", "accepts"),
+    ("insert into acc (email) select * from (select :e as e) s", "rejects"),
+    ("insert into acc (email) select n_name from nation where n_name = :e", "unknown"),
+]
+
+
+@pytest.mark.parametrize("sql,admission", LINEAGE)
+def test_lineage(views, sql, admission):
+    schema = Schema().declare("acc", "email", "id")
+    schema["acc"] = replace(schema["acc"], types={"id": "bigint", "email": "string", "display_name": "string"})
+    assert [p.admission for p in Statement(views, sql, schema).analyze().params] == [admission]
+
+
 def test_execution(views):
     s = Statement(views, "select c_name from customer where c_custkey = :id", SCHEMA)
     known = views.table("customer").first()
