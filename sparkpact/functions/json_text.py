@@ -18,3 +18,11 @@ def json_array_agg(value: Column) -> Column:
     """
     packed = F.sort_array(F.collect_list(F.struct(value.alias("v"))))
     return F.when(F.size(packed) > 0, F.to_json(F.transform(packed, lambda x: x["v"]), _KEEP))
+
+
+def json_object_agg(key: Column, value: Column, strict: bool = False) -> Column:
+    """One object of a group's pairs in order of the keys; null values stay, or are left out with ``strict``. Two pairs
+    with one key are an error."""
+    pair = F.struct(key.alias("k"), value.alias("v"))
+    packed = F.sort_array(F.collect_list(F.when(value.isNotNull(), pair) if strict else pair))
+    return F.when(F.size(packed) > 0, F.to_json(F.map_from_entries(packed), _KEEP))

@@ -62,11 +62,87 @@ def contains_range(a: Column, b: Column) -> Column:
     return b["empty"] | (~a["empty"] & low & high)
 
 
+def _low(a: Column) -> Column:
+    """Sortable lower bound: infinite first, then inclusive before exclusive."""
+    return F.struct(a["lower"].isNotNull().alias("finite"), a["lower"].alias("at"), (~a["lower_inc"]).alias("open"))
+
+
+def _high(a: Column) -> Column:
+    """Sortable upper bound: exclusive before inclusive, infinite last."""
+    return F.struct(a["upper"].isNull().alias("infinite"), a["upper"].alias("at"), a["upper_inc"].alias("closed"))
+
+
+def before(a: Column, b: Column) -> Column:
+    """The order of ranges: empty ones first, then by lower bound, then by upper bound."""
+    key = lambda r: F.struct((~r["empty"]).alias("e"), F.when(~r["empty"], _low(r)).alias("l"), F.when(~r["empty"], _high(r)).alias("h"))
+    return key(a) < key(b)
+
+
+def overleft(a: Column, b: Column) -> Column:
+    """a does not reach beyond b on the right."""
+    return ~a["empty"] & ~b["empty"] & (_high(a) <= _high(b))
+
+
+def overright(a: Column, b: Column) -> Column:
+    """a does not reach beyond b on the left."""
+    return ~a["empty"] & ~b["empty"] & (_low(a) >= _low(b))
+
+
+def _pick(a: Column, b: Column, low_of_a: Column, high_of_a: Column) -> Column:
+    """The lower bound of one range with the upper bound of another; empty where they leave nothing between."""
+    low = lambda f: F.when(low_of_a, a[f]).otherwise(b[f])
+    high = lambda f: F.when(high_of_a, a[f]).otherwise(b[f])
+    return _range(low("lower"), high("upper"), low("lower_inc"), high("upper_inc"))
+
+
+def _range(lower: Column, upper: Column, lower_inc: Column, upper_inc: Column) -> Column:
+    empty = F.coalesce((lower > upper) | ((lower == upper) & ~(lower_inc & upper_inc)), F.lit(False))
+    bound = lambda c: F.when(~empty, c)
+    return F.struct(bound(lower).alias("lower"), bound(upper).alias("upper"), (lower_inc & ~empty & lower.isNotNull()).alias("lower_inc"), (upper_inc & ~empty & upper.isNotNull()).alias("upper_inc"), empty.alias("empty"))
+
+
 def intersection(a: Column, b: Column) -> Column:
-    """Intersection of two half-open ranges [lower, upper)."""
-    # greatest and least skip nulls, which is right for infinite bounds
-    out = make_range(F.greatest(a["lower"], b["lower"]), F.least(a["upper"], b["upper"]))
-    return F.when(a["empty"] | b["empty"], _empty(a)).otherwise(out)
+    """Values in both ranges, with bounds of any kind."""
+    both = _pick(a, b, _low(a) >= _low(b), _high(a) <= _high(b))
+    return F.when(a["empty"] | b["empty"] | ~overlaps(a, b), _empty(a)).otherwise(both)
+
+
+def merge(a: Column, b: Column) -> Column:
+    """The smallest range that holds both; a gap between them is filled."""
+    whole = _pick(a, b, _low(a) <= _low(b), _high(a) >= _high(b))
+    return F.when(a["empty"], b).when(b["empty"], a).otherwise(whole)
+
+
+def union(a: Column, b: Column) -> Column:
+    """A multirange (array of disjoint ranges in order) of the values in either."""
+    one = overlaps(a, b) | adjacent(a, b)
+    return multirange(F.when(a["empty"] | b["empty"] | one, F.array(merge(a, b))).when(before(a, b), F.array(a, b)).otherwise(F.array(b, a)))
+
+
+def minus(a: Column, b: Column) -> Column:
+    """A multirange of the values in a and not in b: what lies left of b and what lies right of it."""
+    left = _range(a["lower"], b["lower"], a["lower_inc"], ~b["lower_inc"])
+    right = _range(b["upper"], a["upper"], ~b["upper_inc"], a["upper_inc"])
+    has_left, has_right = b["lower"].isNotNull() & (_low(a) < _low(b)), b["upper"].isNotNull() & (_high(a) > _high(b))
+    cut = F.array(F.when(has_left, left).otherwise(_empty(a)), F.when(has_right, right).otherwise(_empty(a)))
+    return multirange(F.when(~overlaps(a, b), F.array(a)).otherwise(cut))
+
+
+def multirange(ranges: Column) -> Column:
+    """Without its empty ranges."""
+    return F.filter(ranges, lambda r: ~r["empty"])
+
+
+def multirange_contains(m: Column, v: Column) -> Column:
+    return F.exists(m, lambda r: contains_value(r, v))
+
+
+def multirange_overlaps(m: Column, r: Column) -> Column:
+    return F.exists(m, lambda x: overlaps(x, r))
+
+
+def multirange_intersection(m: Column, r: Column) -> Column:
+    return multirange(F.transform(m, lambda x: intersection(x, r)))
 
 
 def _empty(a: Column) -> Column:

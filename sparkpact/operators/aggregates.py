@@ -1,6 +1,6 @@
 """Grouping and aggregates."""
 
-from pyspark.sql import Window
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .registry import money, query
@@ -83,23 +83,50 @@ def ordered_set_agg(t):
     return t.orders.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", 0.5).alias("median"))
 
 
-@query("""SELECT r_name, CAST(json_array_length(j) AS INTEGER) AS n, json_extract_string(j, '$[0].name') AS first_name
-          FROM (SELECT r_name, to_json(list({'key': n_nationkey, 'name': n_name} ORDER BY n_name)) AS j FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)""")
+_OF_REGION = "FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
+
+
+def _of_region(t):
+    n, r = t.nation, t.region
+    return n.join(r, n.n_regionkey == r.r_regionkey).groupBy("r_name")
+
+
+@query(f"SELECT r_name, CAST(to_json(list({{'name': n_name, 'key': n_nationkey, 'odd': nullif(n_nationkey % 2, 0)}} ORDER BY n_name)) AS VARCHAR) AS j {_OF_REGION}")
 def json_agg_objects(t):
     from ..functions.json_text import json_array_agg
 
-    n, r = t.nation, t.region
-    joined = n.join(r, n.n_regionkey == r.r_regionkey).groupBy("r_name")
-    j = joined.agg(json_array_agg(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))).alias("j"))
-    return j.select("r_name", F.json_array_length("j").alias("n"), F.get_json_object("j", "$[0].name").alias("first_name"))
+    row = F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"), F.nullif(F.col("n_nationkey") % 2, F.lit(0)).alias("odd"))
+    return _of_region(t).agg(json_array_agg(row).alias("j"))
 
 
-@query("""SELECT r_name, CAST(len(json_keys(j)) AS INTEGER) AS n_keys FROM (SELECT r_name, json_group_object(n_name, n_nationkey) AS j
-          FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)""")
+@query(f"SELECT r_name, CAST(to_json(map_from_entries(list((n_name, n_nationkey) ORDER BY n_name))) AS VARCHAR) AS j {_OF_REGION}")
 def json_object_agg(t):
-    n, r = t.nation, t.region
-    j = n.join(r, n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey")))).alias("j"))
-    return j.select("r_name", F.size(F.json_object_keys("j")).alias("n_keys"))
+    from ..functions.json_text import json_object_agg as whole
+
+    return _of_region(t).agg(whole(F.col("n_name"), F.col("n_nationkey")).alias("j"))
+
+
+@query(f"SELECT r_name, CAST(to_json(map_from_entries(list((n_name, n_nationkey) ORDER BY n_name) FILTER (WHERE n_nationkey % 3 > 0))) AS VARCHAR) AS j {_OF_REGION}")
+def json_object_agg_strict(t):
+    """Pairs with a null value are left out."""
+    from ..functions.json_text import json_object_agg as whole
+
+    return _of_region(t).agg(whole(F.col("n_name"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey")), strict=True).alias("j"))
+
+
+@query("SELECT o_orderstatus, max(o_totalprice) - min(o_totalprice) AS span, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
+def user_aggregate(t):
+    """A user-defined aggregate: Arrow batches of the partial extremes, so a group's rows are reduced before Python."""
+
+    @F.pandas_udf("double")
+    def span(low: pd.Series, high: pd.Series) -> float:
+        return float(high.max() - low.min())
+
+    bucket = F.pmod(F.xxhash64("o_orderkey"), F.lit(64))
+    partial = t.orders.groupBy("o_orderstatus", bucket).agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.count("*").alias("n"))
+    both = partial.groupBy("o_orderstatus")
+    spans = both.agg(span("low", "high").alias("span"))
+    return spans.join(both.agg(F.sum("n").alias("n")), "o_orderstatus")
 
 
 @query("SELECT user_id, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
@@ -107,15 +134,9 @@ def nested_aggregation(t):
     return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.max("n").alias("longest"))
 
 
-@query("SELECT event_type, approx FROM (SELECT event_type, count(DISTINCT user_id) > 0 AS approx FROM events GROUP BY 1)")
+@query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def two_phase_distinct(t):
-    return t.events.select("event_type", "user_id").distinct().groupBy("event_type").agg((F.count("user_id") > 0).alias("approx"))
-
-
-def first_by(df, keys, order):
-    """The first row of each key by ``order`` (DISTINCT ON)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return t.events.select("event_type", "user_id").distinct().groupBy("event_type").agg(F.count("user_id").alias("users"))
 
 
 @query("SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name) AS names FROM nation GROUP BY 1")

@@ -122,11 +122,13 @@ def column_alias_list(t):
     return t.nation.select("n_nationkey", "n_name").toDF("a", "b").where("a > 3")
 
 
-@query("SELECT event_id, event_type || '=' || CAST(user_id AS VARCHAR) AS pair, TRUE AS has_key FROM events")
+@query("""SELECT event_id, event_type || '=' || CAST(user_id AS VARCHAR) AS pair, event_type = 'click' AS has_click, CASE WHEN event_type = 'click' THEN CAST(user_id AS VARCHAR) END AS of_click,
+          event_type || ',source' AS keys FROM events""")
 def map_values(t):
     """Key-value text type as a map."""
-    m = F.create_map(F.col("event_type"), F.col("user_id").cast("string"))
-    return t.events.select("event_id", F.concat(F.map_keys(m)[0], F.lit("="), F.element_at(m, F.col("event_type"))).alias("pair"), F.map_contains_key(m, F.col("event_type")).alias("has_key"))
+    m = F.create_map(F.col("event_type"), F.col("user_id").cast("string"), F.lit("source"), F.lit("web"))
+    return t.events.select("event_id", F.concat(F.map_keys(m)[0], F.lit("="), F.element_at(m, F.col("event_type"))).alias("pair"), F.map_contains_key(m, F.lit("click")).alias("has_click"),
+                           F.try_element_at(m, F.lit("click")).alias("of_click"), F.array_join(F.map_keys(m), ",").alias("keys"))
 
 
 @query("""SELECT n_nationkey, array_to_string(list_transform([n_nationkey, n_regionkey, 1], lambda x: CASE WHEN x = 1 THEN 99 ELSE x END), ',') AS replaced,
@@ -150,3 +152,46 @@ def range_intersect_agg(t):
 def scalar_library(t):
     month = F.date_trunc("month", F.col("o_orderdate")).cast("timestamp_ntz")
     return t.orders.select("o_orderkey", month.alias("month"), F.year("o_orderdate").alias("year"), F.lower("o_orderpriority").alias("p"), F.abs(F.col("o_totalprice") - 100000).alias("off"))
+
+
+_SIDES = "SELECT p_partkey, p_size AS al, p_size + 10 AS ah, 20 AS bl, 30 AS bh FROM part"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN ah < bl THEN al || '-' || ah || ',' || bl || '-' || bh WHEN al > bh THEN bl || '-' || bh || ',' || al || '-' || ah
+           ELSE least(al, bl) || '-' || greatest(ah, bh) END AS either, CASE WHEN ah <= bl OR al >= bh THEN al || '-' || ah WHEN al < bl AND ah > bh THEN al || '-' || bl || ',' || bh || '-' || ah
+           WHEN al < bl THEN al || '-' || bl WHEN ah > bh THEN bh || '-' || ah ELSE '' END AS rest, CASE WHEN al < bh AND bl < ah THEN greatest(al, bl) || '-' || least(ah, bh) END AS both_in,
+           (al, ah) < (bl, bh) AS first, ah <= bh AS not_beyond, al >= bl AS not_under FROM ({_SIDES})""")
+def range_union_minus(t):
+    a, b = ranges.make_range(F.col("p_size"), F.col("p_size") + 10), ranges.make_range(F.lit(20), F.lit(30))
+    text = lambda m: F.array_join(F.transform(m, lambda r: F.concat_ws("-", r["lower"].cast("string"), r["upper"].cast("string"))), ",")
+    both = ranges.intersection(a, b)
+    return t.part.select("p_partkey", text(ranges.union(a, b)).alias("either"), text(ranges.minus(a, b)).alias("rest"), F.when(~both["empty"], text(F.array(both))).alias("both_in"),
+                         ranges.before(a, b).alias("first"), ranges.overleft(a, b).alias("not_beyond"), ranges.overright(a, b).alias("not_under"))
+
+
+@query("""SELECT p_partkey, (p_size >= 5 AND p_size < 10) OR (p_size >= 20 AND p_size <= 25) AS inside, p_size < 10 AND p_size + 3 > 5 OR p_size <= 25 AND p_size + 3 > 20 AS meets,
+          CAST((p_size < 10 AND p_size + 3 > 5)::INT + (p_size <= 25 AND p_size + 3 > 20)::INT AS INTEGER) AS n_parts FROM part""")
+def multirange_ops(t):
+    m = F.array(ranges.make_range(F.lit(5), F.lit(10)), ranges.make_range(F.lit(20), F.lit(25), True, True))
+    own = ranges.make_range(F.col("p_size"), F.col("p_size") + 3)
+    return t.part.select("p_partkey", ranges.multirange_contains(m, F.col("p_size")).alias("inside"), ranges.multirange_overlaps(m, own).alias("meets"), F.size(ranges.multirange_intersection(m, own)).alias("n_parts"))
+
+
+@query("SELECT n_nationkey, n_name AS name, n_regionkey AS region, n_name AS again FROM nation")
+def xml_values(t):
+    """Elements made of columns, read back by path and by schema."""
+    x = F.to_xml(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), {"rowTag": "nation"})
+    made = t.nation.select("n_nationkey", x.alias("x"))
+    parsed = F.from_xml("x", "name string, region int", {"rowTag": "nation"})
+    return made.select("n_nationkey", F.xpath_string("x", F.lit("/nation/name")).alias("name"), F.xpath_int("x", F.lit("/nation/region")).alias("region"), parsed["name"].alias("again"))
+
+
+@query("SELECT n_nationkey, regexp_replace(regexp_replace(n_name, '[A-Z]', 'Q', 'g'), '[0-9]', '#', 'g') AS masked FROM nation")
+def named_arguments(t):
+    return t.sql("SELECT n_nationkey, mask(n_name, digitChar => '#', upperChar => 'Q') AS masked FROM {nation}", "nation")
+
+
+@query("SELECT n_nationkey, greatest(n_nationkey, n_regionkey, 4) AS high, concat_ws('-', n_name, CAST(n_regionkey AS VARCHAR)) AS joined FROM nation")
+def array_argument(t):
+    """An array in place of a list of arguments."""
+    return t.nation.select("n_nationkey", F.array_max(F.array("n_nationkey", "n_regionkey", F.lit(4))).alias("high"), F.concat_ws("-", F.array(F.col("n_name"), F.col("n_regionkey").cast("string"))).alias("joined"))

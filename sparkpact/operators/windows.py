@@ -77,3 +77,27 @@ def win_groups_frame(t):
 @query("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS others FROM part")
 def win_exclude_current(t):
     return t.part.select("p_partkey", (F.count("*").over(Window.partitionBy("p_brand")) - 1).alias("others"))
+
+
+_NEAR = "PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING"
+
+
+def _near(t):
+    frame = Window.partitionBy("p_brand").orderBy("p_size").rangeBetween(-5, 5)
+    peers = Window.partitionBy("p_brand", "p_size")  # a RANGE frame holds all peers of the current row
+    total = lambda w: F.sum("p_partkey").over(w)
+    return total(frame), total(peers), F.count("*").over(frame), F.count("*").over(peers)
+
+
+@query(f"SELECT p_partkey, CAST(sum(p_partkey) OVER ({_NEAR} EXCLUDE GROUP) AS BIGINT) AS keys, count(*) OVER ({_NEAR} EXCLUDE GROUP) AS n FROM part")
+def win_exclude_group(t):
+    """The frame without the current row's peers; a sum of no rows is null."""
+    keys, of_peers, n, n_peers = _near(t)
+    return t.part.select("p_partkey", F.when(n > n_peers, keys - of_peers).alias("keys"), (n - n_peers).alias("n"))
+
+
+@query(f"SELECT p_partkey, CAST(sum(p_partkey) OVER ({_NEAR} EXCLUDE TIES) AS BIGINT) AS keys, count(*) OVER ({_NEAR} EXCLUDE TIES) AS n FROM part")
+def win_exclude_ties(t):
+    """The frame without the current row's peers, with the row itself."""
+    keys, of_peers, n, n_peers = _near(t)
+    return t.part.select("p_partkey", (keys - of_peers + F.col("p_partkey")).alias("keys"), (n - n_peers + 1).alias("n"))
