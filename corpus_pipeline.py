@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkpact.llm import bpe_codec, decontaminate, jaccard_join, language_id, line_chunks
-from sparkpact.llm._common import Scratch, importable, table
+from sparkpact.llm._common import Scratch, importable, scratch_scope, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), str(k))
+        with scratch_scope():
+            after = scratch.write(stage(spark, docs, sf_dir), str(k))
+        if k:
+            scratch.drop(str(k - 1))
+        docs = after
     return docs
 
 

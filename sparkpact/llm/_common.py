@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager, suppress
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_MADE: list = []
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 MAX_BATCH_BYTES = 8 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -36,10 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only in a local run where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[[^,]*(,\d+)?\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FALLBACK:
         folder = tempfile.mkdtemp(prefix="sparkpact-")
@@ -54,6 +61,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, owner: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex}"
+        _MADE.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -68,13 +76,24 @@ class Scratch:
             self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Remove a table that no pending plan reads."""
+    def drop(self, name: str = "") -> None:
+        """Remove a table that no pending plan reads; without a name, the whole folder."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.base)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch_scope():
+    """Folders of tables that are made within go at its end: what was built on them must be written by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        while len(_MADE) > before:
+            _MADE.pop().drop()
+
+
 def free_name(columns: list[str], stem: str) -> str:
     """A column name that is not among ``columns``, whatever their case."""
     taken = {c.lower() for c in columns}
@@ -83,6 +102,22 @@ def free_name(columns: list[str], stem: str) -> str:
     return stem
 
 
+def released(run):
+    """A function of Arrow batches whose task gives memory that it no longer uses back to the system at its end: Python
+    workers live on, and an executor's memory holds all of them."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def text_runs(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """Yield (start, texts) slices of a batch holding about ``limit`` bytes of text each (one row at least)."""
     texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
@@ -151,4 +186,4 @@ def by_group(df: DataFrame, keys: list[str], fn, out: list[tuple[str, pa.DataTyp
             yield rows_of(found)
 
     ordered = df.select(*names).repartition(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(run, ", ".join(f"{n} {sql}" for n, _, sql in out))
+    return ordered.mapInArrow(released(run), ", ".join(f"{n} {sql}" for n, _, sql in out))

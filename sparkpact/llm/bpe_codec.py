@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import text_runs
+from ._common import released, text_runs
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -338,7 +338,7 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> DataFrame:
                     size = 0
         yield rows()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long")
+    counted = docs.select("text").mapInArrow(released(count), "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
 
 
@@ -398,4 +398,4 @@ def _coded(spark, docs, tokenizer_path, ranks_path, lexicon_words, digests):
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
     kinds = ["long", "long", "string", "string"] if digests else ["long", "long", "binary", "string"]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))

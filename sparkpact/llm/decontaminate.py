@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import text_runs
+from ._common import released, text_runs
 
 Q = 8
 ERROR_RATE = 0.1
@@ -279,5 +279,5 @@ def keep_clean(spark: SparkSession, docs: DataFrame, items: DataFrame, block_cha
                 bad = {row for row, *_ in _found(index, batch.column(at).to_pylist())}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(released(run), docs.schema)
     return docs

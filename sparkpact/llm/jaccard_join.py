@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, Seen, by_group, free_name, text_runs
+from ._common import Scratch, Seen, by_group, free_name, released, text_runs
 from .components import components
 from .repeat_spans import _among, _marked
 
@@ -281,7 +281,7 @@ def _heavy(docs: DataFrame, n: int, scratch: Scratch) -> np.ndarray:
                 for s in own.sets(texts):
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["token"])
 
-    rows = sample.select("text").mapInArrow(tokens, "token long")
+    rows = sample.select("text").mapInArrow(released(tokens), "token long")
     top = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY_COUNT).orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS)
     often = scratch.write(top, "heavy").toPandas()  # written first: the driver gets the limit's rows only
     out = np.zeros(len(often), np.dtype([("token", "<u8"), ("n", "<i8")]))
@@ -312,7 +312,7 @@ def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int, heavy
                     pa.array([bitmap(s) if f else None for s, f in zip(sets, full)], pa.binary()),
                 ], ["doc_id", "n_shingles", "d1", "d2", "bands", "tokens", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, tokens array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, tokens array<long>, bits binary")
 
 
 def _sets(spark: SparkSession, docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
@@ -345,7 +345,7 @@ def _sets(spark: SparkSession, docs: DataFrame, n: int, wanted: DataFrame) -> Da
                 a, b = zip(*found) if found else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary())], ["doc_id", "grams"])
 
-    sets = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, grams binary")
+    sets = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, grams binary")
     return sets.join(wanted.hint("merge"), "doc_id")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import text_runs
+from ._common import released, text_runs
 
 DIMENSIONS = 1 << 13
 PER_LANGUAGE = 300
@@ -190,4 +190,4 @@ def keep_identified(spark: SparkSession, docs: DataFrame, model: KernelModel, mi
                 keep[part] = own.scores([rows[k] for k in part]).max(1) >= need if own.languages else True
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
