@@ -36,6 +36,30 @@ def json_table_source(t):
     return t.events.select("event_id", F.from_json("props", "k bigint").alias("p")).select("event_id", "p.k")
 
 
+@query("SELECT n_nationkey, CAST(u.k AS INTEGER) AS k, n_name[u.k:u.k] AS letter FROM nation, LATERAL (SELECT unnest(range(1, n_regionkey + 2)) AS k) u")
+def user_table_function(t):
+    """A user-defined table function, applied to every row of a table."""
+
+    @F.udtf(returnType="k int, letter string")
+    class Letters:
+        def eval(self, text: str, n: int):
+            for k in range(n):
+                yield k + 1, text[k]
+
+    name = "sparkpact_letters"
+    t.spark.udtf.register(name, Letters)
+    return t.sql(f"SELECT n_nationkey, u.k, u.letter FROM {{nation}}, LATERAL {name}(n_name, n_regionkey + 1) u", "nation")
+
+
+@query("SELECT r_regionkey, n_name AS name, n_nationkey AS key FROM nation JOIN region ON n_regionkey = r_regionkey")
+def xml_table(t):
+    """A table from the elements of an XML text."""
+    element = F.concat(F.lit("<n><name>"), "n_name", F.lit("</name><key>"), F.col("n_nationkey").cast("string"), F.lit("</key></n>"))
+    texts = t.nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.concat(F.lit("<r>"), F.array_join(F.collect_list(element), ""), F.lit("</r>")).alias("x"))
+    parsed = texts.select("r_regionkey", F.from_xml("x", "n array<struct<name string, key int>>", {"rowTag": "r"}).alias("r"))
+    return parsed.select("r_regionkey", F.inline("r.n"))
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE (o_orderstatus = 'O' OR o_totalprice > 200000) AND NOT (o_orderpriority = '5-LOW')")
 def where_and_or_not(t):
     o = F.col

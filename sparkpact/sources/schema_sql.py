@@ -1,4 +1,5 @@
-"""Facts from schema SQL: CREATE TABLE, CREATE TYPE ... AS ENUM, CREATE UNIQUE INDEX and ALTER TABLE ... ADD.
+"""Facts from schema SQL: CREATE TABLE, CREATE TYPE ... AS ENUM, CREATE DOMAIN, CREATE UNIQUE INDEX and ALTER TABLE ...
+ADD.
 
 Only what holds for every row becomes a fact. A key that is deferrable, partial or over expressions proves nothing; a
 CHECK counts where it is enforced, validated, inherited, of one column without a collation of its own, and of a form
@@ -110,7 +111,11 @@ class _Table:
         if not re.search(r"\b(NO INHERIT|NOT VALID|NOT ENFORCED)\b", rest):
             self.checks.append(" ".join(expression).replace(":: ", "::").replace(" ::", "::"))
 
-    def column(self, tokens: list[str], enums: dict[str, tuple[str, ...]]) -> None:
+    def column(self, tokens: list[str], enums: dict[str, tuple[str, ...]], domains: dict[str, list[str]]) -> None:
+        if len(tokens) > 1 and (whole := domains.get(_name(tokens[_relation(tokens, 1)[1] - 1]))) and tokens[_relation(tokens, 1)[1] :][:1] != ["["]:
+            # a column of a domain has the domain's type and constraints, of which VALUE is the column
+            own = [tokens[0] if t.upper() == "VALUE" else t for t in whole]
+            tokens = [tokens[0], *own, *tokens[_relation(tokens, 1)[1] :]]
         name, at = _name(tokens[0]), 1
         words = _upper(tokens)
         while at < len(tokens) and words[at] not in _CLAUSES:
@@ -163,6 +168,7 @@ class _Table:
 def schema_from_sql(text: str) -> Schema:
     """The facts of all tables that the statements create. A table that is created twice is an error."""
     enums: dict[str, tuple[str, ...]] = {}
+    domains: dict[str, list[str]] = {}
     tables: dict[str, _Table] = {}
     for tokens in _split(_tokens(text), ";"):
         words = _upper(tokens)
@@ -170,6 +176,9 @@ def schema_from_sql(text: str) -> Schema:
             name, at = _relation(tokens, 2)
             at = words.index("ENUM") + 1
             enums[name] = tuple(p[0][1:-1].replace("''", "'") for p in _split(tokens[at + 1 : _group(tokens, at) - 1], ","))
+        elif words[:2] == ["CREATE", "DOMAIN"]:
+            name, at = _relation(tokens, 2)
+            domains[name] = tokens[at + (words[at] == "AS") :]
         elif words[0] == "CREATE" and "TABLE" in words[1:3] and "(" in words:
             at = words.index("TABLE") + 1
             at += 3 if words[at : at + 3] == ["IF", "NOT", "EXISTS"] else 0
@@ -179,7 +188,7 @@ def schema_from_sql(text: str) -> Schema:
             own = tables[name] = _Table(name)
             for part in _split(tokens[at + 1 : _group(tokens, at) - 1], ","):
                 if not (part[0].upper() in ("CONSTRAINT", "PRIMARY", "UNIQUE", "CHECK", "FOREIGN", "EXCLUDE", "LIKE") and own.constraint(part)):
-                    own.column(part, enums)
+                    own.column(part, enums, domains)
         elif words[:3] == ["CREATE", "UNIQUE", "INDEX"] and "ON" in words:
             name, at = _relation(tokens, words.index("ON") + (2 if words[words.index("ON") + 1] == "ONLY" else 1))
             begin = words.index("(", at - 1)

@@ -1,4 +1,5 @@
 import importlib.util
+import json
 
 import pytest
 
@@ -57,7 +58,13 @@ def test_dml(views):
     assert check("INSERT INTO acc (email) SELECT :e") == {"e": "rejects"}
     assert check("INSERT INTO acc (email) SELECT :e FROM other") == {"e": "unknown"}
     assert check("UPDATE acc SET email = :e, note = :n WHERE id = :i") == {"e": "rejects", "i": "accepts", "n": "accepts"}
-    assert check("UPDATE acc SET note = coalesce(:n, note) WHERE id = 1") == {"n": "unknown"}
+    # under NULL these write each row as it was
+    assert check("UPDATE acc SET note = coalesce(:n, note) WHERE id = 1") == {"n": "accepts"}
+    assert check("UPDATE acc SET email = coalesce(:n, email, 'x'), note = note") == {"n": "accepts"}
+    assert check("UPDATE acc SET note = CASE WHEN :n IS NOT NULL THEN upper(:n) ELSE note END") == {"n": "accepts"}
+    # and these need not
+    for kept in ("note = coalesce(:n, note, 'x')", "note = coalesce(:n, status)", "note = coalesce(:n, note), status = 'a'", "note = CASE WHEN id = 1 THEN :n ELSE note END", "note = coalesce(upper(:n), 'x')"):
+        assert check(f"UPDATE acc SET {kept}") == {"n": "unknown"}, kept
     assert check("DELETE FROM acc WHERE id = :i") == {"i": "accepts"}
     assert check("DELETE FROM acc WHERE id = :i AND status = 'a'") == {"i": "unknown"}
     assert check("DELETE FROM acc WHERE :i IS NULL OR id = :i") == {"i": "unknown"}
@@ -114,6 +121,37 @@ def test_command_line(views, tmp_path, capsys):
     assert capsys.readouterr().out.strip().endswith("n_statement.py")
 
 
+def test_command_line_with_schema(spark, tmp_path, capsys):
+    (tmp_path / "s.sql").write_text("create table acc (id bigint primary key, email text not null, kind text check (kind in ('a', 'b')))")
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "find.typed.sql").write_text("select email, kind from acc where id = :id")
+    (tmp_path / "q" / "add.typed.sql").write_text("-- @nullable kind\ninsert into acc (id, email, kind) values (:id, :email, :kind)")
+    (tmp_path / "other.typed.sql").write_text("select nope")
+    config = tmp_path / "c.json"
+    config.write_text(json.dumps({"root": str(tmp_path), "schema": str(tmp_path / "s.sql"), "include": "q/*", "profile": "conservative"}))
+    main(["--config", str(config), "--profile", "standard"])
+    assert [x.rpartition("/")[2] for x in capsys.readouterr().out.split()] == ["add_statement.py", "find_statement.py"]
+    found, added = ((tmp_path / "q" / f"{n}_statement.py").read_text() for n in ("find", "add"))
+    assert "email: str\n" in found and "kind: Literal['a', 'b'] | None" in found and "statement.optional(id=id)" in found
+    assert "statement.command(id=id, email=email, kind=kind)" in added and "kind = None" in added
+    main(["--config", str(config)])
+    assert "email: object" in (tmp_path / "q" / "find_statement.py").read_text()
+    config.write_text(json.dumps({"rout": "x"}))
+    for bad in (["--config", str(config)], ["--root", "x"]):
+        with pytest.raises(SystemExit):
+            main(bad)
+
+
+def test_commands_run(spark, tmp_path):
+    spark.sql(f"create table kept (id bigint, note string) using parquet location 'file://{tmp_path}/kept'")
+    try:
+        s = Statement(spark, "insert into kept (id, note) values (:id, :note)", Schema())
+        assert s.analyze().command == "insert" and s.command(id=1, note="a") is None and s.command(id=2, note=None) is None
+        assert sorted(map(tuple, Statement(spark, "select id, note from kept", Schema()).many())) == [(1, "a"), (2, None)]
+    finally:
+        spark.sql("drop table kept")
+
+
 def test_outputs_roll_back(tmp_path, monkeypatch):
     a, b = tmp_path / "a.py", tmp_path / "b.py"
     a.write_text("old")

@@ -9,6 +9,8 @@ from sparkpact.statement import ContractError, Statement
 BASE = """
 -- accounts and what they post
 create type account_status as enum ('active', 'it''s off');
+create domain short_code as varchar(8) not null check (value in ('x', 'y'));
+create domain app.free as text;
 create table accounts (
   id bigint generated always as identity primary key,
   public_id uuid not null default gen_random_uuid(),
@@ -17,6 +19,7 @@ create table accounts (
   status account_status not null default 'active',
   role text not null check (role in ('member', 'admin')),
   balance numeric(12, 2), tags text[], "Odd Name" varchar(20), point geometry,
+  code short_code, remark app.free default 'none', codes short_code[],
   created_at timestamptz not null default now()
 );
 create table if not exists app.posts (
@@ -38,10 +41,10 @@ def test_facts():
     s = schema_from_sql(BASE)
     a, p = s["accounts"], s["posts"]
     assert list(a.types.items()) == [("id", "bigint"), ("public_id", "string"), ("email", "string"), ("display_name", "string"), ("status", "string"), ("role", "string"), ("balance", "decimal(12,2)"),
-                                     ("tags", "array<string>"), ("Odd Name", "string"), ("point", "unknown"), ("created_at", "timestamp")]
-    assert a.not_null == {"id", "public_id", "email", "status", "role", "created_at"}
+                                     ("tags", "array<string>"), ("Odd Name", "string"), ("point", "unknown"), ("code", "string"), ("remark", "string"), ("codes", "unknown"), ("created_at", "timestamp")]
+    assert a.not_null == {"id", "public_id", "email", "status", "role", "code", "created_at"}
     assert {(k.name, k.columns, k.primary) for k in a.keys} == {("accounts_pkey", ("id",), True), ("accounts_email_key", ("email",), False)}
-    assert a.allowed == {"status": ("active", "it's off"), "role": ("member", "admin")}
+    assert a.allowed == {"status": ("active", "it's off"), "role": ("member", "admin"), "code": ("x", "y")}
     assert {k.columns for k in p.keys} == {("id",), ("account_id", "title"), ("body",)}  # body by its index; deferrable, partial and expression keys prove nothing
     assert p.allowed == {"kind": ("b",), "title": ("p", "q", "r")}
     with pytest.raises(SourceError):
