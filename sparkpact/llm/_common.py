@@ -134,7 +134,7 @@ def text_runs(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
 class Seen:
     """Rows that a task has met lately, so that one that a third of all rows repeat is sent once a task."""
 
-    def __init__(self, limit: int = 100_000):
+    def __init__(self, limit: int = 20_000):
         self.limit, self.keys = limit, set()
 
     def new(self, key) -> bool:

@@ -34,7 +34,7 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 LEXICON_WORDS = 1 << 16
 MIN_LOCAL_COUNT = 3
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 200_000
 _MAGIC = b"MATL0001"
 
 

@@ -33,7 +33,7 @@ SAMPLE_ONE_IN = 32
 HEAVY_COUNT = 4
 HEAVY_TOKENS = 1_000_000
 BLOCK = 1024
-VOCABULARY = 1 << 18
+VOCABULARY = 1 << 17
 LEAF = 8
 FILTER_BITS = 1 << 22
 _PAIR = [("a", pa.int64(), "long"), ("b", pa.int64(), "long")]
