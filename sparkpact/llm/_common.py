@@ -118,6 +118,12 @@ def released(run):
     return wrapped
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage, so that a heap that grew over many short stages shrinks again, and
+    broadcasts and shuffles that nothing reads go."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_runs(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """Yield (start, texts) slices of a batch holding about ``limit`` bytes of text each (one row at least)."""
     texts = batch.column(batch.schema.get_field_index(column)).to_pylist()

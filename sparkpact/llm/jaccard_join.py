@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, Seen, by_group, free_name, released, text_runs
+from ._common import Scratch, Seen, by_group, free_name, give_back, released, text_runs
 from .components import components
 from .repeat_spans import _among, _marked
 
@@ -478,9 +478,11 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     hubs = banded.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     coarse = banded.join(hubs.hint("merge"), ["band", "key"]).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = scratch.write(components(coarse, scratch, "coarse"), "clusters")
+    give_back(spark)
     inner = scratch.write(_cluster_links(spark, docs, n, percent, clusters, scratch), "inner")
     for name in ("cluster_sets", "labels", "probed", "parts", "named"):
         scratch.drop(name)
+    give_back(spark)
 
     shared = _shared_tokens(spark, reps, clusters, percent, scratch)
     counts = shared.groupBy("token", "c").agg(F.count("*").alias("n_group"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").drop("lo", "hi")
@@ -497,6 +499,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
         return possible_pairs(group["doc_id"], group["n_shingles"], group["bits"], group["cluster"], left, percent, homes)
 
     candidates = scratch.write(by_group(with_bits, ["token", "c", "bi", "bj"], pairs, _PAIR).where("a <> b").distinct(), "candidates")
+    give_back(spark)
     outer = _verified(spark, docs, n, percent, candidates, scratch)
     links = inner.unionByName(outer).unionByName(joined)
     found = scratch.write(components(links, scratch, "final"), "final")

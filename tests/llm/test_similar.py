@@ -180,3 +180,22 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, **{k: 10 for k in range(10, 14)}, **{k: 100 for k in range(100, 121)}}
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test"), "e").count() == 0
+
+
+def test_small_graphs_take_few_jobs_and_equal_the_rounds(spark):
+    for seed in range(2):
+        pick = random.Random(seed)
+        edges = [(pick.randrange(300), pick.randrange(300)) for _ in range(160)] + [(1, None), (-5, 2**60)]
+        graph, found = spark.createDataFrame(edges, "a long, b long"), []
+        for small in ({}, {"small": 0}):
+            spark.sparkContext.setJobGroup(f"graph-{seed}-{len(found)}", "components")
+            found.append(sorted(map(tuple, components(graph, Scratch(spark, "test"), "c", **small).collect())))
+        jobs = [len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"graph-{seed}-{k}")) for k in range(2)]
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        label = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+        for _ in label:
+            for a, b in edges:
+                if a in label and b in label:
+                    label[a] = label[b] = min(label[a], label[b])
+        assert found[0] == found[1] == sorted(label.items())
+        assert jobs[0] <= 8 < jobs[1]
