@@ -45,6 +45,23 @@ def test_repeats(spark, many):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 400)
 
 
+def test_planted_passages_go_by_their_bytes(spark):
+    """Passages of over 50 words that two documents share: those of 400 bytes or more go whole, shorter ones and
+    documents without a passage stay as they are."""
+    rows, want = [], {}
+    for k, size in enumerate((330, 398, 399, 400, 401, 450, 900)):
+        passage = prose(500 + k, 200, ("ba", "ke", "lo"))[:size]
+        assert len(passage.split()) > 50
+        for d, (before, after) in {3 * k: "12", 3 * k + 1: "34"}.items():  # no byte beside the passage agrees
+            rows.append((d, prose(600 + d, 80) + before + passage + after + prose(700 + d, 80), "a", "s", 1, 0.0))
+            want[d] = size if size >= 400 else 0
+        rows.append((3 * k + 2, prose(800 + k, 150), "a", "s", 1, 0.0))
+        want[3 * k + 2] = 0
+    got = R.remove_repeats(spark, frame(spark, rows)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == want
+    assert {r.doc_id: r.n_bytes for r in got} == {d: len(t.encode()) for d, t, *_ in rows}
+
+
 def test_no_documents_no_repeats(spark):
     assert R.remove_repeats(spark, empty(spark)).count() == 0
     assert R.remove_repeats(spark, frame(spark, documents()[3:7])).where("n_removed > 0").count() == 0
