@@ -16,6 +16,7 @@ LENGTH from it on.
    one task; it is split by its windows instead: their digests are counted across tasks.
 4. Spans are joined a document and cut out. ``repeat_groups`` gives the intervals themselves: every maximal repeat
    with all of its occurrences.
+5. Beside the removal, ``shared_runs`` finds runs of more than 50 words that another document holds, of whatever bytes.
 
 Different contexts are compared by their bytes, equal ones are combined by 128-bit digests.
 """
@@ -30,12 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, Seen, by_group, text_runs
+from ._common import Scratch, Seen, by_group, released, text_runs
 
 LENGTH, GRAM = 400, 64
 MANY = 50_000
 CELL = 48
 FILTER_BITS = 25
+WORDS, WORD_GRAM, PLACE_WINDOWS = 51, 8, 20
 
 
 # ---------------------------------------------------------------- anchors
@@ -376,6 +378,210 @@ def _by_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return shared(windows).groupBy(*context).agg(F.max("j").cast("short").alias("l"), (length - F.min("j")).cast("short").alias("r"))
 
 
+# ---------------------------------------------------------------- runs of words
+
+_SOLID = np.ones(256, bool)
+_SOLID[[32, *range(9, 14)]] = False
+_BASE = 0x9E3779B97F4A7C15
+_PLACE_BITS = 22
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2**64; those for usual sizes are kept."""
+    size = 1 << max(n - 1, 1 << 20).bit_length()
+    if size in _POWERS:
+        return _POWERS[size]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        values = np.full(size, base, np.uint64)
+        values[0] = 1
+        made.append(np.multiply.accumulate(values))
+    if size <= 1 << 22:
+        _POWERS[size] = tuple(made)
+    return tuple(made)
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` consecutive values."""
+    n, out, at, width = len(h) - size + 1, None, 0, 1
+    base = np.uint64(_BASE)
+    while width <= size:
+        if size & width:
+            part = h[at : at + n]
+            out = part if out is None else out * base + part
+            out = out ^ (out >> np.uint64(31))
+            at += width
+        if 2 * width > size:
+            break
+        h = h[:-width] * base + h[width:]
+        h ^= h >> np.uint64(29)
+        base = (base ^ (base >> np.uint64(9))) | np.uint64(1)
+        width *= 2
+    return out * np.uint64(0xD6E8FEB86659FD93)
+
+
+def owned_windows(texts: list[str], size: int = WORDS, gram: int = WORD_GRAM, step: int = 1 << 21):
+    """(text, first window, windows, anchor, at) of the stretches of windows of ``size`` words that have one anchor, and
+    the hashes of windows that ``at`` points into.
+
+    A window's anchor is its smallest ``gram``-word hash, the first of those that agree in the high bits, so equal windows
+    have equal anchors. Words are separated by spaces and the control characters 9 to 13; no window crosses texts.
+    """
+    encoded = [t.encode() for t in texts]
+    raw = np.frombuffer(b"".join((b" ", b" ".join(encoded), b" ")), np.uint8)
+    solid = _SOLID[raw]
+    edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    n = len(begin) - size + 1
+    none = np.zeros(0, np.int64)
+    if n <= 0:
+        return none, none, none, none.view(np.uint64), none, none.view(np.uint64)
+    first = np.searchsorted(begin, np.cumsum([1] + [len(b) + 1 for b in encoded[:-1]]))
+    text = np.repeat(np.arange(len(texts)), np.diff(first, append=len(begin)))
+    up, down = _powers(len(raw))
+    total = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])
+    h = (total[end - 1] - total[begin - 1]) * down[begin]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    grams, owner, low = _rolled(h, gram), np.empty(n, np.int64), np.uint64((1 << _PLACE_BITS) - 1)
+    for at in range(0, n, step):  # places in a piece fit the low bits of its hashes
+        piece = grams[at : min(n, at + step) + size - gram]
+        least = _slide((piece & ~low) | np.arange(len(piece), dtype=np.uint64), size - gram + 1, np.minimum)
+        owner[at : at + step] = (least & low).astype(np.int64) + at
+    inside = np.flatnonzero(text[:n] == text[size - 1 :])
+    own, at = grams[owner[inside]], text[inside]
+    start = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (at[1:] != at[:-1]))))[: len(own)]
+    at = inside[start]
+    return text[at], at - first[text[at]], np.diff(start, append=len(own)), own[start], at, _rolled(h, size)
+
+
+def _several_documents(window: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows (hash and anchor) are held by more than one document; anchors come in order."""
+    order = np.argsort(window, kind="stable")
+    w, a, d = window[order], anchor[order], doc[order]
+    start = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (a[1:] != a[:-1]))))
+    out = np.empty(len(w), bool)
+    out[order] = np.repeat(np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start), np.diff(start, append=len(w)))
+    return out
+
+
+def _longs(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+
+
+def _windows_of(texts: DataFrame, size: int, gram: int, chosen, crowded, wanted: bool) -> DataFrame:
+    """doc_id, th, doc, anchor, at (first window), windows (8 bytes each) of the stretches whose anchor is among
+    ``chosen`` and, as ``wanted`` says, among ``crowded`` or not."""
+
+    def run(batches):
+        some, many = np.frombuffer(chosen.value, np.uint8), np.frombuffer(crowded.value, np.uint8)
+        for batch in batches:
+            for start, own in text_runs(batch, "text", 1 << 20):
+                text, first, count, anchor, at, windows = owned_windows(own, size, gram)
+                anchor = anchor.view(np.int64)
+                keep = np.flatnonzero(_among(some, anchor) & (_among(many, anchor) == wanted))
+                text, first, count, anchor, at = (x[keep] for x in (text, first, count, anchor, at))
+                stop = np.cumsum(count)
+                data = windows[np.repeat(at - stop + count, count) + np.arange(count.sum())]
+                offsets = np.concatenate(([0], stop * 8)).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                row = pa.array(text + start)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(3)), pa.array(anchor), pa.array(first.astype(np.int32)), blobs], names)
+
+    names = ["doc_id", "th", "doc", "anchor", "at", "windows"]
+    return texts.select("doc_id", "th", "doc", "text").mapInArrow(released(run), "doc_id long, th long, doc long, anchor long, at int, windows binary")
+
+
+def _opened(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in its text, hash) of each window of a table of stretches."""
+    blobs = table.column("windows").combine_chunks() if isinstance(table, pa.Table) else table.column(5)
+    offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] // 8
+    data, count = np.frombuffer(blobs.buffers()[2], np.int64)[offsets[0] : offsets[-1]], np.diff(offsets)
+    row = np.repeat(np.arange(len(blobs)), count)
+    return row, np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], count) + _longs(table.column("at"))[row], data
+
+
+def _shared_windows(stretches: DataFrame, size: int) -> DataFrame:
+    """doc_id, th, start, stop (words) of what several documents hold, anchors in one task each."""
+
+    def solve(table):
+        row, place, window = _opened(table)
+        if not len(row):
+            return
+        found = np.flatnonzero(_several_documents(window, _longs(table.column("anchor"))[row], _longs(table.column("doc"))[row]))
+        row, place = row[found], place[found]
+        start = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))))[: len(row)]
+        at, last = pa.array(row[start]), np.append(start[1:], len(row))[: len(start)] - 1
+        ids, th = (table.column(n).combine_chunks().take(at) for n in ("doc_id", "th"))
+        yield pa.RecordBatch.from_arrays([ids, th, pa.array(place[start].astype(np.int32)), pa.array((place[last] + size).astype(np.int32))], ["doc_id", "th", "start", "stop"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.nbytes
+            if n > 8 << 20:  # all but the last anchor, which may go on
+                table = pa.Table.from_batches(held)
+                anchor = _longs(table.column("anchor"))
+                whole = int(np.argmax(anchor == anchor[-1]))
+                yield from solve(table.slice(0, whole))
+                held = table.slice(whole).combine_chunks().to_batches()
+                n = sum(b.nbytes for b in held)
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    ordered = stretches.repartition("anchor").sortWithinPartitions("anchor")
+    return ordered.mapInArrow(released(run), "doc_id long, th long, start int, stop int")
+
+
+def _crowded_windows(stretches: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """As ``_shared_windows``, for anchors with too many places for one task: windows are counted across tasks."""
+
+    def run(batches):
+        for batch in batches:
+            row, place, window = _opened(batch)
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(4)), pa.array(place.astype(np.int32)), pa.array(window)], names)
+
+    names = ["doc_id", "th", "doc", "anchor", "start", "window"]
+    opened = scratch.write(stretches.mapInArrow(run, "doc_id long, th long, doc long, anchor long, start int, window long"), "opened")
+    shared = opened.groupBy("anchor", "window").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b").select("anchor", "window")
+    met = opened.join(scratch.write(shared, "shared").hint("merge"), ["anchor", "window"])
+    return met.select("doc_id", "th", "start", (F.col("start") + size).cast("int").alias("stop"))
+
+
+def shared_runs(spark: SparkSession, docs: DataFrame, scratch: Scratch, size: int = WORDS, gram: int = WORD_GRAM, many: int = MANY) -> DataFrame:
+    """doc_id, th, n_shared_words: words in runs of ``size`` words or more that another document holds too.
+
+    Another document has another doc_id or another text. Words are compared, not what separates them, by a 64-bit hash
+    of the window among windows with the same 64-bit anchor. An anchor with more than ``many`` times PLACE_WINDOWS
+    windows is split by its windows over tasks.
+    """
+    texts = _keyed(docs).where(F.octet_length("text") >= 2 * size - 1)
+    texts = texts.select("doc_id", "th", F.xxhash64("doc_id", "th").alias("doc"), "text")
+
+    def scan(batches):
+        for batch in batches:
+            for start, own in text_runs(batch, "text", 1 << 20):
+                text, _, count, anchor, _, _ = owned_windows(own, size, gram)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + start)), pa.array(anchor.view(np.int64)), pa.array(count.astype(np.int32))], ["doc", "anchor", "n"])
+
+    met = texts.select("doc", "text").mapInArrow(released(scan), "doc long, anchor long, n int").groupBy("anchor")
+    several = scratch.write(met.agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.sum("n").alias("n")).where("a != b").select("anchor", "n"), "met")
+    chosen, crowded = _marked(spark, several.select("anchor")), _marked(spark, several.where(F.col("n") > many * PLACE_WINDOWS).select("anchor"))
+    runs = _shared_windows(_windows_of(texts, size, gram, chosen, crowded, False), size)
+    if any(crowded.value):
+        runs = runs.unionByName(_crowded_windows(_windows_of(texts, size, gram, chosen, crowded, True), scratch, size))
+    # words of the union: what each run adds beyond those that start before it
+    union = """aggregate(array_sort(runs), named_struct('n', 0L, 'at', 0), (s, r) -> named_struct(
+        'n', s.n + greatest(0, r.stop - greatest(r.start, s.at)), 'at', greatest(s.at, r.stop)), s -> s.n)"""
+    whole = runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    return scratch.write(whole.select("doc_id", "th", F.expr(union).alias("n_shared_words")), "words")
+
+
+# ---------------------------------------------------------------- documents
+
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     """(bytes left, maximal removed runs)."""
     kept, at, runs = [], 0, 0
@@ -389,11 +595,14 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words of every document.
 
     Bytes covered by a ``length``-byte string that starts at another place too, in any document or the same one, go;
     strings are judged on the input. A null text counts as empty. Rows that repeat a doc_id and text are each an
     occurrence, so what they share goes. Other columns are not read.
+
+    ``n_shared_words`` is a report beside it: words in runs of more than 50 words that another document holds too, however
+    few bytes they have. They stay unless the rule above takes them.
     """
     scratch = Scratch(spark, "repeats")
     spans = repeated_spans(spark, docs, scratch, length, gram, many)
@@ -410,8 +619,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], ["doc_id", "th", "n_removed", "n_spans", "kept"])
 
     changed = scratch.write(met.mapInArrow(finish, "doc_id long, th long, n_removed long, n_spans long, kept string").dropDuplicates(["doc_id", "th"]), "changed")
+    words = shared_runs(spark, docs, scratch, many=many)
     raw = F.coalesce("text", F.lit(""))
     base = _keyed(docs).select("doc_id", "th", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw.cast("binary"), 256).alias("full"))
     zero = F.lit(0).cast("long")
-    out = base.join(changed.hint("merge"), _same(base, changed), "left")
-    return out.select(base["doc_id"], "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "full").alias("kept_sha256"))
+    out = base.join(changed.hint("merge"), _same(base, changed), "left").join(words.hint("merge"), _same(base, words), "left")
+    found = [F.coalesce(n, zero).alias(n) for n in ("n_removed", "n_spans")]
+    return out.select(base["doc_id"], "n_bytes", *found, F.coalesce("kept", "full").alias("kept_sha256"), F.coalesce("n_shared_words", zero).alias("n_shared_words"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -62,6 +63,48 @@ def test_planted_passages_go_by_their_bytes(spark):
     assert {r.doc_id: r.n_bytes for r in got} == {d: len(t.encode()) for d, t, *_ in rows}
 
 
+def brute_shared_words(rows, size=51):
+    texts = {(d, t or ""): re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t, *_ in rows}
+    held = Counter(w for words in texts.values() for w in {tuple(words[k : k + size]) for k in range(len(words) - size + 1)})
+    out = []
+    for d, t, *_ in rows:
+        words = texts[d, t or ""]
+        out.append((str(d), len({p for k in range(len(words) - size + 1) if held[tuple(words[k : k + size])] > 1 for p in range(k, k + size)})))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("many", [R.MANY, 1])
+def test_runs_of_over_50_words_are_counted_whatever_their_bytes(spark, many):
+    """Passages of 51 words that other documents hold are found, by any separators and below 400 bytes too; those of 50
+    words, and what only the document itself repeats, are not."""
+    rows = documents() + [(40, "so " * 300, "a", "s", 1, 0.0), (41, prose(41, 60) + "\n" + prose(41, 60), "a", "s", 1, 0.0), (41, prose(42, 60), "a", "s", 1, 0.0)]
+    for k, size in enumerate((49, 50, 51, 52, 51, 80)):
+        words = [f"w{k}{j % 37}" for j in range(size)]
+        rows += [(100 + 2 * k, "one " + " ".join(words) + " end", "a", "s", 1, 0.0), (101 + 2 * k, prose(k + 60, 70) + "\n" + "\t \x0b".join(words) + "\n" + prose(k + 70, 9), "a", "s", 1, 0.0)]
+    passage = prose(71, 90).split()
+    rows += [(200 + k, " ".join([prose(800 + k, k), *passage[k : 90 - 2 * k], prose(900 + k, 20)]), "a", "s", 1, 0.0) for k in range(16)]
+    got = R.remove_repeats(spark, frame(spark, rows), many=many).collect()
+    want = brute_shared_words(rows)
+    assert sorted((str(r.doc_id), r.n_shared_words) for r in got) == want
+    found = dict(want)
+    assert [found[str(d)] for d in (100, 102, 104, 106, 108, 110)] == [0, 0, 51, 52, 51, 80] and found["41"] == 0
+    assert {r.doc_id: r.n_removed for r in got}[104] == 0
+
+
+def test_windows_have_one_anchor_in_any_piece():
+    r = random.Random(4)
+    texts = ["", " \n", *(" ".join(r.choice(("a", "b", "cc", "dé")) for _ in range(r.randint(0, 60))) for _ in range(30))]
+    found = []
+    for step in (1 << 21, 64):
+        text, first, count, anchor, at, windows = R.owned_windows(texts, 9, 2, step)
+        found.append({(int(t), int(f) + j): (int(a), int(windows[p + j])) for t, f, c, a, p in zip(text, first, count, anchor, at) for j in range(c)})
+    words = [t.split() for t in texts]
+    want = {(k, j): tuple(w[j : j + 9]) for k, w in enumerate(words) for j in range(len(w) - 8)}
+    assert found[0] == found[1] and found[0].keys() == want.keys()
+    assert len(R.owned_windows(["so " * 400, "so " * 400])[0]) == 2  # not a stretch a word
+    assert len(set(want.values())) == len(set(found[0].values())) == len({(want[k], found[0][k]) for k in want})
+
+
 def test_no_documents_no_repeats(spark):
     assert R.remove_repeats(spark, empty(spark)).count() == 0
     assert R.remove_repeats(spark, frame(spark, documents()[3:7])).where("n_removed > 0").count() == 0
